@@ -112,7 +112,8 @@ def _monthly(t):
     )
 
 
-_BY_MONTH = Window.partitionBy("priority").orderBy("month")
+def _by_month():
+    return Window.partitionBy("priority").orderBy("month")
 
 
 @query(
@@ -125,11 +126,11 @@ _BY_MONTH = Window.partitionBy("priority").orderBy("month")
     """,
 )
 def _(t):
-    whole = _BY_MONTH.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = _by_month().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return _monthly(t).select(
         "priority",
         "month",
-        F.first("total").over(_BY_MONTH).alias("first_total"),
+        F.first("total").over(_by_month()).alias("first_total"),
         F.last("total").over(whole).alias("last_total"),
     )
 
@@ -185,7 +186,7 @@ def _(t):
     """,
 )
 def _(t):
-    moving = F.avg(F.col("total").cast("double")).over(_BY_MONTH.rowsBetween(-2, 0))
+    moving = F.avg(F.col("total").cast("double")).over(_by_month().rowsBetween(-2, 0))
     return _monthly(t).select("priority", "month", F.round(moving, 4).alias("moving"))
 
 
