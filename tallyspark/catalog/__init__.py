@@ -1,6 +1,6 @@
 """All named queries. Importing the modules registers them."""
 
-from tallyspark.catalog import aggregates, relational, windows  # noqa: F401
+from tallyspark.catalog import aggregates, json, relational, scalars, windows  # noqa: F401
 from tallyspark.catalog.registry import callables, checks
 
 __all__ = ["callables", "checks"]

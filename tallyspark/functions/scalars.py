@@ -104,7 +104,7 @@ def split_csv_int(csv: Column, extra_separators: bool = False) -> Column:
     """
     text = F.coalesce(csv, F.lit(""))
     text = F.translate(text, "\n\r;", ",,,") if extra_separators else F.translate(text, "\n\r", "")
-    tokens = F.transform(F.split(text, ","), F.trim)
+    tokens = F.transform(F.split(text, ","), lambda token: F.trim(token))
     whole = F.filter(tokens, lambda token: token.rlike(r"^[+-]?\d+$"))
     return F.filter(F.transform(whole, lambda token: token.try_cast("int")), lambda n: n.isNotNull())
 
