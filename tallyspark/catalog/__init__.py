@@ -1,6 +1,14 @@
 """All named queries. Importing the modules registers them."""
 
-from tallyspark.catalog import aggregates, json, relational, sales, scalars, windows  # noqa: F401
+from tallyspark.catalog import (  # noqa: F401
+    aggregates,
+    commission,
+    json,
+    relational,
+    sales,
+    scalars,
+    windows,
+)
 from tallyspark.catalog.registry import callables, checks
 
 __all__ = ["callables", "checks"]

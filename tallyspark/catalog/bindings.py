@@ -163,3 +163,261 @@ def revenue_sql(by_customer_tier: bool) -> str:
     )
 """
     )
+
+# --- commission ------------------------------------------------------------------------
+
+from tallyspark.plans.commission import CommissionParams  # noqa: E402
+
+COMMISSION_PARAMS = CommissionParams(
+    start=dt.date(1995, 6, 1),
+    end=dt.date(2000, 12, 31),
+    min_order_amount=Decimal("5000"),
+    top_sellers=10,
+    threshold_scale=50,
+)
+
+# p_type plays the category (ECONOMY has none), p_brand the subcategory.
+_CATEGORY = {"STANDARD": "Bikes", "LARGE": "Components", "MEDIUM": "Clothing", "SMALL": "Accessories", "PROMO": "Promo"}
+_GROUP = {"AMERICA": "North America", "EUROPE": "Europe", "ASIA": "Pacific"}
+ONLINE = ("1-URGENT", "2-HIGH")
+
+
+def _renamed(column, labels, otherwise=None):
+    out = F.lit(None).cast("string") if otherwise is None else otherwise
+    for key, label in labels.items():
+        out = F.when(column == key, label).otherwise(out)
+    return out
+
+
+def commission_territories(t):
+    places = t.nation.join(t.region, c("n_regionkey") == c("r_regionkey"))
+    return places.select(
+        c("n_nationkey").alias("territory_id"),
+        c("n_name").alias("territory_name"),
+        _renamed(c("n_nationkey"), {1: "US", 6: "CA"}, c("n_name")).alias("country_code"),
+        _renamed(c("r_name"), _GROUP, c("r_name")).alias("territory_group"),
+    )
+
+
+def commission_orders(t):
+    """An order's seller is the lowest supplier key on its lines; none without lines."""
+    sellers = t.lineitem.groupBy(c("l_orderkey").alias("o_orderkey")).agg(
+        F.min("l_suppkey").alias("seller_id")
+    )
+    joined = t.orders.join(t.customer, c("o_custkey") == c("c_custkey")).join(sellers, "o_orderkey", "left")
+    total = as_money(c("o_totalprice"))
+    return joined.select(
+        c("o_orderkey").alias("order_id"),
+        c("o_custkey").alias("customer_id"),
+        "seller_id",
+        c("c_nationkey").alias("territory_id"),
+        c("o_orderdate").cast("date").alias("order_date"),
+        total.alias("total_due"),
+        c("o_orderpriority").isin(*ONLINE).alias("online"),
+    )
+
+
+def seller_persons(t):
+    parts = F.split("s_name", "#")
+    return t.supplier.select(
+        c("s_suppkey").alias("person_id"),
+        parts[0].alias("first_name"),
+        F.when(c("s_acctbal") >= 0, parts[1]).alias("last_name"),
+    )
+
+
+def seller_employees(t):
+    title = F.when(c("s_nationkey") < 20, F.concat(F.lit("Rep "), c("s_nationkey").cast("string")))
+    return t.supplier.select(c("s_suppkey").alias("person_id"), title.alias("job_title"))
+
+
+def seller_quotas(t):
+    """One quota inside the period and one after it."""
+    quota = F.greatest(as_money(c("s_acctbal")), F.lit(0)) * 5000
+    days = F.array(F.lit(dt.date(1997, 6, 1)), F.lit(dt.date(2005, 1, 1)))
+    return t.supplier.select(
+        c("s_suppkey").alias("person_id"),
+        F.explode(days).alias("quota_date"),
+        quota.cast(MONEY).alias("sales_quota"),
+    )
+
+
+def customer_persons(t):
+    parts = F.split("c_name", "#")
+    return t.customer.where(c("c_acctbal") >= -900).select(
+        c("c_custkey").alias("person_id"),
+        parts[0].alias("first_name"),
+        parts[1].alias("last_name"),
+        F.when(c("c_mktsegment") == "BUILDING", "SC").otherwise("IN").alias("person_type"),
+        F.when(c("c_mktsegment").isin("MACHINERY", "FURNITURE"), "Mr.").alias("title"),
+    )
+
+
+def commission_products(t):
+    number = F.substring("p_brand", 7, 3).cast("int")
+    bikes = F.when(number <= 8, "Mountain Bikes").when(number <= 16, "Road Bikes")
+    bikes = bikes.when(number <= 22, "Touring Bikes").otherwise("Other Bikes")
+    category = _renamed(c("p_type"), _CATEGORY)
+    price = as_money(c("p_retailprice"))
+    return t.part.select(
+        c("p_partkey").alias("product_id"),
+        c("p_name").alias("product_name"),
+        price.alias("list_price"),
+        (price * F.lit(Decimal("0.6"))).cast(MONEY).alias("standard_cost"),
+        category.alias("category_name"),
+        F.when(category == "Bikes", bikes).when(category.isNotNull(), c("p_brand")).alias("subcategory_name"),
+    )
+
+
+def commission_lines(t):
+    return t.lineitem.select(
+        c("l_orderkey").alias("order_id"),
+        c("l_linenumber").alias("line_no"),
+        c("l_partkey").alias("product_id"),
+        c("l_quantity").cast("int").alias("order_qty"),
+        (c("l_extendedprice") / c("l_quantity")).alias("unit_price"),
+        c("l_discount").cast("decimal(5,4)").alias("unit_price_discount"),
+        as_money(c("l_extendedprice")).alias("line_total"),
+    )
+
+
+def phones(t):
+    return t.orders.where(c("o_orderpriority") == "1-URGENT").select(c("o_custkey").alias("person_id"))
+
+
+def emails(t):
+    return t.orders.where(c("o_orderpriority") == "2-HIGH").select(c("o_custkey").alias("person_id"))
+
+
+_C = COMMISSION_PARAMS
+
+COMMISSION_SQL = f"""
+    WITH terr AS (
+        SELECT n_nationkey AS territory_id, n_name AS territory_name,
+               CASE n_nationkey WHEN 1 THEN 'US' WHEN 6 THEN 'CA' ELSE n_name END AS country_code,
+               CASE r_name WHEN 'AMERICA' THEN 'North America' WHEN 'EUROPE' THEN 'Europe' WHEN 'ASIA' THEN 'Pacific' ELSE r_name END AS territory_group
+        FROM nation JOIN region ON n_regionkey = r_regionkey
+    ), sellers AS (SELECT l_orderkey, min(l_suppkey) AS seller_id FROM lineitem GROUP BY 1),
+    all_orders AS (
+        SELECT o_orderkey AS order_id, o_custkey AS customer_id, seller_id, c_nationkey AS territory_id,
+               CAST(o_orderdate AS DATE) AS order_date, CAST(o_totalprice AS DECIMAL(19,4)) AS total_due,
+               o_orderpriority IN ('1-URGENT', '2-HIGH') AS online
+        FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN sellers ON l_orderkey = o_orderkey
+    ), base AS (
+        SELECT o.*, territory_name, country_code, territory_group,
+               coalesce(CASE WHEN s_acctbal >= 0 THEN replace(s_name, '#', ' ') END, 'Online/Unknown') AS seller_name,
+               CASE WHEN s_nationkey < 20 THEN 'Rep ' || s_nationkey END AS seller_title,
+               coalesce(greatest(CAST(s_acctbal AS DECIMAL(19,4)), 0) * 5000, 0) AS sales_quota
+        FROM all_orders o JOIN terr ON terr.territory_id = o.territory_id LEFT JOIN supplier ON s_suppkey = seller_id
+        WHERE order_date BETWEEN DATE '{_C.start}' AND DATE '{_C.end}' AND total_due >= {_C.min_order_amount}
+    ), products AS (
+        SELECT p_partkey AS product_id, p_name AS product_name, CAST(p_retailprice AS DECIMAL(19,4)) AS list_price,
+               CAST(CAST(p_retailprice AS DECIMAL(19,4)) * CAST(0.6 AS DECIMAL(3,1)) AS DECIMAL(19,4)) AS standard_cost, category_name,
+               CASE WHEN category_name = 'Bikes' THEN CASE WHEN n <= 8 THEN 'Mountain Bikes' WHEN n <= 16 THEN 'Road Bikes'
+                         WHEN n <= 22 THEN 'Touring Bikes' ELSE 'Other Bikes' END
+                    WHEN category_name IS NOT NULL THEN p_brand END AS subcategory_name
+        FROM (SELECT *, CAST(substring(p_brand, 7) AS INT) AS n, CASE p_type WHEN 'STANDARD' THEN 'Bikes' WHEN 'LARGE' THEN 'Components'
+              WHEN 'MEDIUM' THEN 'Clothing' WHEN 'SMALL' THEN 'Accessories' WHEN 'PROMO' THEN 'Promo' END AS category_name FROM part)
+    ), all_lines AS (
+        SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_partkey AS product_id, CAST(l_quantity AS BIGINT) AS order_qty,
+               l_extendedprice / l_quantity AS unit_price, CAST(l_discount AS DECIMAL(5,4)) AS unit_price_discount,
+               CAST(l_extendedprice AS DECIMAL(19,4)) AS line_total FROM lineitem
+    ), lines AS (
+        SELECT l.*, p.* EXCLUDE (product_id), b.* EXCLUDE (order_id), list_price - standard_cost AS gross_margin_unit
+        FROM all_lines l JOIN base b ON b.order_id = l.order_id JOIN products p ON p.product_id = l.product_id
+    ), tier_sums AS (
+        SELECT customer_id, territory_group, sum(line_total) AS total_revenue,
+               sum(CASE WHEN category_name = 'Bikes' THEN line_total ELSE 0 END) AS bike_revenue,
+               sum(CASE WHEN category_name = 'Components' THEN line_total ELSE 0 END) AS comp_revenue,
+               sum(CASE WHEN category_name = 'Clothing' THEN line_total ELSE 0 END) AS clothing_revenue,
+               sum(CASE WHEN category_name = 'Accessories' THEN line_total ELSE 0 END) AS access_revenue,
+               count(DISTINCT order_id) AS order_count
+        FROM lines GROUP BY 1, 2
+    ), tiers AS (
+        SELECT s.*, CASE WHEN total_revenue >= g * 50 THEN 'Gold' WHEN total_revenue >= s * 50 THEN 'Silver'
+                         WHEN total_revenue >= b * 50 THEN 'Bronze' ELSE 'Standard' END AS customer_tier
+        FROM tier_sums s JOIN (VALUES ('North America', 50000, 20000, 5000), ('Europe', 45000, 18000, 4500),
+            ('Pacific', 40000, 15000, 4000), ('AFRICA', 50000, 20000, 5000), ('MIDDLE EAST', 50000, 20000, 5000)) v(tg, g, s, b)
+            ON tg = territory_group
+    )
+"""
+
+
+def _ladder(table: str, value_column: str, default: str) -> str:
+    """A CASE over (group, territory, tier), from the same fixed values."""
+    whens = []
+    from tallyspark.sources import seeds
+
+    for group, territory, *rates in seeds._rows(table):
+        test = f"{value_column} = '{group}'"
+        if territory != "OTHER":
+            test += f" AND territory_group = '{territory}'"
+        if group == "OTHER":
+            continue
+        whens.append(
+            f"WHEN {test} THEN CASE customer_tier WHEN 'Gold' THEN {rates[0]} WHEN 'Silver' THEN {rates[1]} "
+            f"WHEN 'Bronze' THEN {rates[2]} ELSE {rates[3]} END"
+        )
+    return f"CASE {' '.join(whens)} ELSE {default} END"
+
+
+def commission_sql() -> str:
+    from tallyspark.sources import seeds
+
+    group = "(CASE WHEN category_name = 'Bikes' THEN subcategory_name ELSE category_name END)"
+    discount = _ladder(seeds.DISCOUNT_RATES, group, "0.0")
+    share = _ladder(seeds.COMMISSION_RATES, "category_name", "0.02")
+    return (
+        COMMISSION_SQL
+        + f""", priced AS (
+        SELECT l.*, customer_tier, CAST({discount} AS DECIMAL(5,4)) AS disc, CAST({share} AS DECIMAL(5,4)) AS comm,
+               CAST(CASE WHEN l.territory_group = 'Europe' THEN 0.2 WHEN l.territory_group = 'Pacific' THEN 0.1
+                    WHEN country_code = 'CA' THEN 0.05 END AS DECIMAL(5,4)) AS tax
+        FROM lines l LEFT JOIN (SELECT customer_id AS cid, territory_group AS tg, customer_tier FROM tiers)
+             ON cid = customer_id AND tg = territory_group
+    ), finals AS (
+        SELECT *, line_total * (1 - disc) AS adjusted, line_total * disc AS discount_amount,
+               line_total * (1 - disc) * comm AS earned, line_total * (1 - disc) - standard_cost * order_qty AS margin,
+               CAST(CAST(line_total * (1 - disc) - standard_cost * order_qty AS DOUBLE)
+                    / CAST(line_total * (1 - disc) AS DOUBLE) AS DECIMAL(28,10)) AS margin_pct,
+               line_total * (1 - disc) * tax AS estimated_tax
+        FROM priced
+    ), seller AS (
+        SELECT seller_id, seller_name, territory_group, territory_name, count(DISTINCT order_id) AS total_orders,
+               sum(line_total) AS original, sum(adjusted) AS adjusted, sum(discount_amount) AS discounts,
+               sum(earned) AS earned, sum(margin) AS margin, CAST(sum(margin_pct) AS DOUBLE) / count(*) AS margin_pct,
+               sum(CASE WHEN category_name = 'Bikes' THEN adjusted ELSE 0 END) AS bike_revenue,
+               sum(CASE WHEN category_name = 'Components' THEN adjusted ELSE 0 END) AS comp_revenue,
+               sum(CASE WHEN category_name = 'Clothing' THEN adjusted ELSE 0 END) AS clothing_revenue,
+               sum(CASE WHEN category_name = 'Accessories' THEN adjusted ELSE 0 END) AS access_revenue,
+               max(sales_quota) AS sales_quota
+        FROM finals WHERE seller_id IS NOT NULL GROUP BY 1, 2, 3, 4
+    ), seller_ranked AS (
+        SELECT *, CASE WHEN sales_quota = 0 THEN 'No Quota'
+                       WHEN CAST(adjusted AS DOUBLE) / CAST(sales_quota AS DOUBLE) >= 1.2 THEN 'Overachiever'
+                       WHEN CAST(adjusted AS DOUBLE) / CAST(sales_quota AS DOUBLE) >= 1 THEN 'On Target'
+                       WHEN CAST(adjusted AS DOUBLE) / CAST(sales_quota AS DOUBLE) >= 0.8 THEN 'Near Target'
+                       WHEN CAST(adjusted AS DOUBLE) / CAST(sales_quota AS DOUBLE) >= 0.6 THEN 'Below Target' ELSE 'At Risk' END AS band,
+               ntile(4) OVER (ORDER BY adjusted DESC, seller_id, territory_name) AS quartile
+        FROM seller
+    ), rfm_sums AS (
+        SELECT customer_id, count(DISTINCT order_id) AS order_count, sum(adjusted) AS total_revenue,
+               CAST(sum(adjusted) AS DOUBLE) / count(*) AS avg_line, max(order_date) AS last_day, min(order_date) AS first_day,
+               sum(discount_amount) AS discounts, sum(earned) AS earned, max(customer_tier) AS customer_tier,
+               max(territory_group) AS territory_group
+        FROM finals GROUP BY 1
+    ), rfm AS (
+        SELECT s.*, DATE '{_C.end}' - last_day AS recency_days, replace(c_name, '#', ' ') AS customer_name,
+               ntile(5) OVER (ORDER BY DATE '{_C.end}' - last_day, customer_id) AS r_score,
+               ntile(5) OVER (ORDER BY order_count DESC, customer_id) AS f_score,
+               ntile(5) OVER (ORDER BY total_revenue DESC, customer_id) AS m_score
+        FROM rfm_sums s JOIN customer ON c_custkey = customer_id WHERE c_acctbal >= -900
+    ), bench AS (
+        SELECT territory_group, count(DISTINCT seller_id) AS seller_count, sum(adjusted) AS total,
+               CAST(sum(adjusted) AS DOUBLE) / count(*) AS avg_revenue, CAST(sum(earned) AS DOUBLE) / count(*) AS avg_commission,
+               avg(margin_pct) AS avg_margin, sum(bike_revenue) AS bike, sum(comp_revenue) AS comp,
+               sum(clothing_revenue) AS clothing, sum(access_revenue) AS access
+        FROM seller GROUP BY 1
+    )
+"""
+    )
