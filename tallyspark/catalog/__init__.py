@@ -3,6 +3,7 @@
 from tallyspark.catalog import (  # noqa: F401
     aggregates,
     commission,
+    facts,
     json,
     relational,
     sales,

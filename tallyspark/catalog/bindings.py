@@ -421,3 +421,127 @@ def commission_sql() -> str:
     )
 """
     )
+
+# --- customer facts -----------------------------------------------------------------------
+
+from tallyspark.plans.facts import FactsParams  # noqa: E402
+
+FACTS_PARAMS = FactsParams(
+    start=dt.date(1996, 1, 1), end=dt.date(2000, 12, 31), as_of=dt.date(2001, 3, 1), tolerance=Decimal("0.5")
+)
+
+
+def fact_header(t):
+    total = as_money(c("o_totalprice"))
+
+    def share(text):
+        return (total * F.lit(Decimal(text))).cast(MONEY)
+
+    return t.orders.join(t.customer, c("o_custkey") == c("c_custkey")).select(
+        c("o_orderkey").alias("order_id"),
+        c("o_custkey").alias("customer_id"),
+        c("c_nationkey").alias("address_id"),
+        c("o_orderdate").cast("date").alias("order_date"),
+        total.alias("total_due"),
+        share("0.90").alias("sub_total"),
+        share("0.08").alias("tax_amt"),
+        share("0.02").alias("freight"),
+        c("o_orderpriority").isin(*ONLINE).alias("online"),
+    )
+
+
+def fact_addresses(t):
+    """A nation without a state falls back to its region; one has neither."""
+    places = t.nation.join(t.region, c("n_regionkey") == c("r_regionkey"))
+    return places.select(
+        c("n_nationkey").alias("address_id"),
+        F.when(c("n_regionkey") != 0, c("n_name")).alias("state"),
+        F.when(c("n_nationkey") != 0, c("r_name")).alias("country"),
+    )
+
+
+def fact_order_lines(t):
+    cents = F.round(c("l_extendedprice") * 100).cast("bigint")
+    each = F.call_function("div", cents * 100, c("l_quantity").cast("bigint"))
+    return t.lineitem.select(
+        c("l_orderkey").alias("order_id"),
+        c("l_linenumber").alias("line_no"),
+        c("l_partkey").alias("product_id"),
+        c("l_quantity").cast("int").alias("order_qty"),
+        (each.cast("decimal(15,0)") * F.lit(Decimal("0.0001"))).cast(MONEY).alias("unit_price"),
+        c("l_discount").cast("decimal(5,4)").alias("unit_price_discount"),
+        as_money(c("l_extendedprice")).alias("line_total"),
+    )
+
+
+def fact_products(t):
+    return t.part.select(
+        c("p_partkey").alias("product_id"), c("p_name").alias("product_name"), c("p_type").alias("category_name")
+    )
+
+
+def fact_customers(t):
+    parts = F.split("c_name", "#")
+    return t.customer.select(
+        c("c_custkey").alias("customer_id"), parts[0].alias("first_name"), parts[1].alias("last_name")
+    )
+
+
+_F = FACTS_PARAMS
+
+FACTS_SQL = f"""
+    WITH orders0 AS (
+        SELECT o_orderkey AS order_id, o_custkey AS customer_id, CAST(o_orderdate AS DATE) AS order_date,
+               CAST(o_totalprice AS DECIMAL(19,4)) AS total_due,
+               CAST(CAST(o_totalprice AS DECIMAL(19,4)) * CAST(0.90 AS DECIMAL(3,2)) AS DECIMAL(19,4)) AS sub_total,
+               CAST(CAST(o_totalprice AS DECIMAL(19,4)) * CAST(0.08 AS DECIMAL(3,2)) AS DECIMAL(19,4)) AS tax_amt,
+               CAST(CAST(o_totalprice AS DECIMAL(19,4)) * CAST(0.02 AS DECIMAL(3,2)) AS DECIMAL(19,4)) AS freight,
+               o_orderpriority IN ('1-URGENT', '2-HIGH') AS online,
+               coalesce(CASE WHEN n_regionkey <> 0 THEN n_name END, CASE WHEN n_nationkey <> 0 THEN r_name END, 'Unknown Region') AS region_name
+        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+        WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '{_F.start}' AND DATE '{_F.end}'
+    ), lines0 AS (
+        SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_partkey AS product_id, CAST(l_quantity AS BIGINT) AS order_qty,
+               CAST(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) * 100 // CAST(l_quantity AS BIGINT) AS DECIMAL(15,0)) * CAST(0.0001 AS DECIMAL(5,4)) AS DECIMAL(19,4)) AS unit_price,
+               CAST(l_discount AS DECIMAL(5,4)) AS unit_price_discount, CAST(l_extendedprice AS DECIMAL(19,4)) AS line_total,
+               o.customer_id, p_name AS product_name, p_type AS category_name
+        FROM lineitem JOIN orders0 o ON o.order_id = l_orderkey JOIN part ON p_partkey = l_partkey
+    ), a AS (
+        SELECT customer_id, count(*) AS order_count, sum(total_due) AS revenue_a, sum(sub_total) AS sub_total_a, sum(tax_amt) AS tax_a,
+               sum(freight) AS freight_a, count(*) FILTER (WHERE online) AS online_orders, count(*) FILTER (WHERE NOT online) AS offline_orders,
+               min(order_date) AS first_day, max(order_date) AS last_day, max(region_name) AS region_name
+        FROM orders0 GROUP BY 1
+    ), per_order AS (
+        SELECT customer_id, order_id, sum(line_total) AS total, sum(unit_price * order_qty * unit_price_discount) AS discount, count(*) AS lines,
+               sum(order_qty) AS qty, count(DISTINCT product_id) AS products, count(DISTINCT category_name) AS categories
+        FROM lines0 GROUP BY 1, 2
+    ), b AS (
+        SELECT customer_id, sum(total) AS revenue_b, sum(discount) AS discount_b, CAST(sum(lines) AS BIGINT) AS total_lines,
+               CAST(sum(qty) AS BIGINT) AS total_qty, CAST(sum(products) AS BIGINT) AS products, CAST(sum(categories) AS BIGINT) AS categories
+        FROM per_order GROUP BY 1
+    ), facts AS (
+        SELECT a.*, replace(c_name, '#', ' ') AS customer_name, b.* EXCLUDE (customer_id),
+               CAST(revenue_a AS DOUBLE) / order_count AS avg_order_value, DATE '{_F.as_of}' - last_day AS recency_days,
+               last_day - first_day AS tenure_days, abs(revenue_a - coalesce(revenue_b, 0)) AS delta,
+               CAST(abs(revenue_a - coalesce(revenue_b, 0)) AS DOUBLE) / nullif(CAST(revenue_a AS DOUBLE), 0) AS pct_delta
+        FROM a JOIN customer ON c_custkey = a.customer_id LEFT JOIN b ON b.customer_id = a.customer_id
+    ), scored AS (
+        SELECT *, r_score + f_score + m_score AS rfm FROM (
+            SELECT *, ntile(5) OVER (ORDER BY recency_days, customer_id) AS r_score,
+                   ntile(5) OVER (ORDER BY order_count DESC, customer_id) AS f_score,
+                   ntile(5) OVER (ORDER BY revenue_a DESC, customer_id) AS m_score FROM facts)
+    ), bench AS (
+        SELECT region_name, CAST(sum(revenue_a) AS DOUBLE) / count(*) AS avg_revenue, CAST(sum(order_count) AS DOUBLE) / count(*) AS avg_orders,
+               CAST(sum(recency_days) AS DOUBLE) / count(*) AS avg_recency, CAST(sum(rfm) AS DOUBLE) / count(*) AS avg_rfm
+        FROM scored GROUP BY 1
+    )
+"""
+
+FACT_COLUMNS = """
+    customer_id, customer_name, region_name, CAST(first_day AS VARCHAR) AS first_order_date, CAST(last_day AS VARCHAR) AS last_order_date,
+    order_count, online_orders AS online_order_count, offline_orders AS offline_order_count, CAST(revenue_a AS DOUBLE) AS total_revenue_path_a,
+    CAST(revenue_b AS DOUBLE) AS total_revenue_path_b, CAST(freight_a AS DOUBLE) AS total_freight, CAST(tax_a AS DOUBLE) AS total_tax,
+    avg_order_value, CAST(round(discount_b, 4) AS DOUBLE) AS total_discount_path_b, total_lines, total_qty, products AS distinct_products,
+    categories AS distinct_categories, CAST(recency_days AS BIGINT) AS recency_days, CAST(tenure_days AS BIGINT) AS customer_tenure_days,
+    CAST(delta AS DOUBLE) AS revenue_delta_ab, pct_delta AS revenue_pct_delta_ab
+"""
