@@ -5,6 +5,7 @@ from tallyspark.catalog import (  # noqa: F401
     commission,
     facts,
     json,
+    procedures,
     relational,
     sales,
     scalars,
