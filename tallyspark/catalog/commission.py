@@ -206,9 +206,7 @@ def _(t):
     """,
 )
 def _(t):
-    from tallyspark.session import materialise
-
-    final = plan.final_report(materialise(_finals(t)), b.customer_persons(t), P)
+    final = plan.final_report(_finals(t), b.customer_persons(t), P)
     final = rounded(final, "revenue_vs_territory_avg", "commission_vs_territory_avg", digits=4)
     return rounded(
         final,

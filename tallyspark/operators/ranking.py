@@ -58,8 +58,8 @@ def global_positions(
 ) -> DataFrame:
     """Row number, row count and running sums over the whole frame.
 
-    One range shuffle; the result is checkpointed because range bounds are
-    sampled and must not move between the counting and the numbering pass.
+    One range shuffle; the result is written to the shared folder because range
+    bounds are sampled and must not move between counting and numbering.
     The joined offsets hold one row per shuffle partition. Running sums are
     windowed per range, which takes one more shuffle of the same rows.
     """

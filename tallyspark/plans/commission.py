@@ -306,10 +306,32 @@ def territory_benchmark(sellers: DataFrame) -> DataFrame:
 def final_report(finals: DataFrame, persons: DataFrame, p: CommissionParams) -> DataFrame:
     """The top sellers against their territory, with their customers' mean RFM score.
 
+    The finals are read three times, so the columns needed are written once.
     Customers are counted once per seller; the mean weighs a customer by the
     seller's lines for them, so lines are counted per (seller, customer) first.
     """
-    sellers = materialise(seller_summary(finals))
+    finals = materialise(
+        finals.select(
+            "order_id",
+            "customer_id",
+            "seller_id",
+            "seller_name",
+            "sales_quota",
+            "order_date",
+            "territory_group",
+            "territory_name",
+            "category_name",
+            "customer_tier",
+            "original_line_total",
+            "adjusted_revenue",
+            "discount_amount",
+            "commission_earned",
+            "gross_margin",
+            "gross_margin_pct",
+        ),
+        "finals",
+    )
+    sellers = materialise(seller_summary(finals), "sellers")
     rfm = customer_rfm(finals, persons, p.end)
     top = sellers.orderBy(
         F.desc("total_adjusted_revenue"), "seller_id", "territory_name"

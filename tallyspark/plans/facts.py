@@ -84,16 +84,28 @@ def path_b(lines: DataFrame) -> DataFrame:
     """Totals per customer from lines, per order first.
 
     Distinct products and categories are counted within an order and then
-    added up, so a product bought in two orders counts twice.
+    added up, so a product bought in two orders counts twice. Grouping by
+    product, then category, then order counts them by rows; lines joined on
+    the order stay in place for these three steps.
     """
     discount = c("unit_price") * c("order_qty") * c("unit_price_discount")
-    per_order = lines.groupBy("customer_id", "order_id").agg(
+    sums = {"line_total": "line_total", "discount": "discount", "lines": "lines", "qty": "qty"}
+
+    def added(*more: Column) -> list[Column]:
+        return [F.sum(name).alias(alias) for name, alias in sums.items()] + list(more)
+
+    order = ["customer_id", "order_id"]
+    per_product = lines.groupBy(*order, "category_name", "product_id").agg(
         F.sum("line_total").alias("line_total"),
         F.sum(discount).alias("discount"),
         F.count("*").alias("lines"),
         F.sum("order_qty").alias("qty"),
-        F.countDistinct("product_id").alias("products"),
-        F.countDistinct("category_name").alias("categories"),
+    )
+    per_category = per_product.groupBy(*order, "category_name").agg(
+        *added(F.count("product_id").alias("products"))
+    )
+    per_order = per_category.groupBy(*order).agg(
+        *added(F.sum("products").alias("products"), F.count("category_name").alias("categories"))
     )
     return per_order.groupBy("customer_id").agg(
         F.sum("line_total").alias("total_revenue_path_b"),

@@ -142,22 +142,44 @@ def stage_sales(orders: DataFrame, lines: DataFrame, products: DataFrame, p: Sal
 
 
 def daily_summary(lines: DataFrame) -> DataFrame:
+    """One row per day with orders, customers, revenue, shipping and categories.
+
+    Lines are summed per order first: an order has one day and one customer,
+    so days then count orders by rows and only customers need a distinct
+    count. The category names of a day are collected from distinct
+    (day, category) pairs.
+    """
+
     def count_where(speed: str) -> Column:
         return F.sum(F.when(c("shipping_speed") == speed, 1).otherwise(0))
 
-    return lines.groupBy(c("order_date").alias("summary_date")).agg(
-        F.countDistinct("order_id").alias("order_count"),
+    per_order = lines.groupBy("order_date", "order_id", "customer_id").agg(
+        F.sum("line_total").alias("total"),
+        F.count("line_total").alias("lines"),
+        F.min("line_total").alias("smallest"),
+        F.max("line_total").alias("largest"),
+        count_where("Fast").alias("fast"),
+        count_where("Delayed").alias("delayed"),
+        F.sum("discount_applied").alias("discounts"),
+        F.sum("shipping_cost").alias("shipping"),
+    )
+    days = per_order.groupBy("order_date").agg(
+        F.count("*").alias("order_count"),
         F.countDistinct("customer_id").alias("unique_customers"),
-        F.sum("line_total").alias("daily_revenue"),
-        safe_ratio(F.sum("line_total"), F.count("line_total")).alias("avg_order_value"),
-        F.min("line_total").alias("min_order_value"),
-        F.max("line_total").alias("max_order_value"),
-        count_where("Fast").alias("fast_ship_count"),
-        count_where("Delayed").alias("delayed_ship_count"),
-        F.array_join(F.sort_array(F.collect_set("category_name")), ", ").alias("categories_sold"),
-        F.sum("discount_applied").alias("total_discounts"),
-        F.sum("shipping_cost").alias("total_shipping"),
+        F.sum("total").alias("daily_revenue"),
+        safe_ratio(F.sum("total"), F.sum("lines")).alias("avg_order_value"),
+        F.min("smallest").alias("min_order_value"),
+        F.max("largest").alias("max_order_value"),
+        F.sum("fast").alias("fast_ship_count"),
+        F.sum("delayed").alias("delayed_ship_count"),
+        F.sum("discounts").alias("total_discounts"),
+        F.sum("shipping").alias("total_shipping"),
+    )
+    sold = lines.select("order_date", "category_name").distinct()
+    names = sold.groupBy("order_date").agg(
+        F.array_join(F.sort_array(F.collect_list("category_name")), ", ").alias("categories_sold")
     )
+    return days.join(names, "order_date").withColumnRenamed("order_date", "summary_date")
 
 
 # --- customers --------------------------------------------------------------------
@@ -166,8 +188,18 @@ def daily_summary(lines: DataFrame) -> DataFrame:
 def customer_profile(
     customers: DataFrame, lines: DataFrame, p: SalesParams, show_tier: bool = True
 ) -> DataFrame:
-    """One row per active customer; the tier is appended to the engagement label."""
-    history = with_running_total(lines).groupBy("customer_id").agg(
+    """One row per active customer; the tier is appended to the engagement label.
+
+    The lifetime value is the highest running total. Lines below the minimum
+    amount were dropped, so unless that is negative totals only grow and the
+    highest is the sum.
+    """
+    if p.min_amount < 0:
+        lines = with_running_total(lines)
+        lifetime = F.max("running_customer_total")
+    else:
+        lifetime = F.sum("line_total")
+    history = lines.groupBy("customer_id").agg(
         F.countDistinct("order_id").alias("orders"),
         F.sum("line_total").alias("spend"),
         F.count("line_total").alias("line_count"),
@@ -176,7 +208,7 @@ def customer_profile(
         F.sum("days_to_ship").alias("ship_days"),
         F.count("days_to_ship").alias("ship_count"),
         F.countDistinct("category_name").alias("categories"),
-        F.max("running_customer_total").alias("lifetime_value"),
+        lifetime.alias("lifetime_value"),
     )
     joined = customers.where("is_active").join(history, "customer_id", "left")
     idle = F.datediff(F.lit(p.as_of), "last_order_date")
@@ -212,20 +244,30 @@ def customer_profile(
 def rank_customers(profile: DataFrame) -> DataFrame:
     """Spend rank and percentile overall, rank and neighbours within the region.
 
-    The profile is written once; the ranking passes carry three columns.
+    The profile is written once; the ranking passes carry three columns. The
+    percentile follows from the spend rank: customers behind the last one
+    with the same spend are those who spend less.
     """
-    profile = materialise(profile)
+    profile = materialise(profile, "profile")
     by_spend = [("total_spend", "desc"), ("customer_id", "asc")]
     slim = profile.select("customer_id", "region", "total_spend")
-    slim = ranking.global_row_number(slim, by_spend, "spend_rank")
-    slim = ranking.with_ranks(slim, [], [("total_spend", "asc")], {"percent_rank": "spend_percentile"})
-    slim = ranking.with_ranks(
-        slim, ["region"], [("total_spend", "desc")], {"dense_rank": "regional_rank"}
+    placed = ranking.global_row_number(slim, by_spend, "spend_rank", "__n")
+    last = placed.groupBy("total_spend").agg(F.max("spend_rank").alias("__last"))
+    less = F.when(c("__n") > 1, (c("__n") - c("__last")) / (c("__n") - 1)).otherwise(F.lit(0.0))
+    overall = placed.join(last, "total_spend").select(
+        "customer_id", "spend_rank", less.alias("spend_percentile")
     )
-    slim = ranking.with_neighbours(
+    beside = ranking.with_neighbours(
         slim, ["region"], by_spend, "total_spend", "prev_customer_spend", "next_customer_spend"
+    ).drop("region", "total_spend")
+    regional = ranking.value_ranks(slim, ["region"], [("total_spend", "desc")]).select(
+        "region", "total_spend", c("dense_rank").alias("regional_rank")
+    )
+    return (
+        profile.join(overall, "customer_id")
+        .join(beside, "customer_id")
+        .join(regional, ["region", "total_spend"])
     )
-    return profile.join(slim.drop("region", "total_spend"), "customer_id")
 
 
 # --- revenue ------------------------------------------------------------------------
@@ -434,7 +476,7 @@ def report(
     staged = sales_lines(orders, lines, products, p)
     profile = customer_profile(customers, staged, p)
     if kind in ("Full", "Customers"):
-        profile = materialise(profile)
+        profile = materialise(profile, "profile")
         sections["top_customers"] = report_top_customers(profile, scale=p.tier_scale)
     if kind in ("Full", "Summary", "Categories"):
         revenue = revenue_calc(staged, p, customer_tiers(profile))

@@ -18,6 +18,7 @@ def build_session(app: str = "tallyspark", master: str | None = None, **conf: st
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.decimalOperations.allowPrecisionLoss", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
@@ -36,14 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
     machine would be lost with that machine.
     """
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not configured:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="tallyspark-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured)
-    return configured
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyspark-"))
+        folder = context.getCheckpointDir()
+    return folder
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -51,7 +51,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write to the shared folder and read back, which cuts lineage.
+
+    The table outlives lost executors, is read by column, and has a known
+    size, so later joins with it can be planned from that. It stays until
+    the folder's owner expires it.
+    """
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
