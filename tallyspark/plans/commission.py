@@ -66,7 +66,7 @@ def chosen_customers(orders: DataFrame, csv: str | None, loose: bool = False) ->
     if csv is None:
         return orders
     listed = orders.sparkSession.range(1).select(
-        F.explode(split_csv_int(F.lit(csv), loose)).cast("bigint").alias("customer_id")
+        F.explode(split_csv_int(F.lit(csv), loose)).alias("customer_id")
     )
     if listed.isEmpty():
         return orders
