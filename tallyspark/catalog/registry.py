@@ -39,7 +39,7 @@ def plain(df: DataFrame) -> DataFrame:
     for field in df.schema:
         column, kind = F.col(f"`{field.name}`"), field.dataType
         if isinstance(kind, T.DecimalType):
-            column = F.round(column, 4).cast("double")
+            column = (F.round(column, 4) if kind.scale > 4 else column).cast("double")
         elif isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType, T.BooleanType)):
             column = column.cast("bigint")
         elif isinstance(kind, T.FloatType):

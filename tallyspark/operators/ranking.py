@@ -232,42 +232,45 @@ def running_by_bucket(
     *,
     sums: dict[str, str] | None = None,
     count: str | None = None,
+    count_down: str | None = None,
     way: str = "asc",
 ) -> DataFrame:
     """Running sums and row numbers per key, split by a leading order column.
 
-    ``bucket`` is the first order column (a day, say). Rows are windowed per
-    (keys, bucket), totals of earlier buckets are added from an aggregate
-    with one row per (keys, bucket). ``sums`` maps a value column to its
-    running-sum name; ``count`` names the row number; frame is ROWS.
+    ``bucket`` is the first order column (a day, say), sorted ``way``. Rows
+    are windowed per (keys, bucket); what other buckets add comes from an
+    aggregate with one row per (keys, bucket). ``sums`` maps a value column
+    to its running-sum name and ``count`` names the row number, both over
+    ROWS in the given order. ``count_down`` names a row number that takes the
+    buckets in reverse and keeps the order within each.
     """
     sums = sums or {}
+    counted = count or count_down
     parts = [*keys, bucket]
     within = Window.partitionBy(*parts).orderBy(*sort_columns(order))
     within = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = df.select(
         "*",
         *[F.sum(value).over(within).alias(f"__in_{name}") for value, name in sums.items()],
-        *([F.count(F.lit(1)).over(within).alias("__in_count")] if count else []),
+        *([F.count(F.lit(1)).over(within).alias("__in_count")] if counted else []),
     )
     totals = df.groupBy(*parts).agg(
         F.count("*").alias("__rows"),
         *[F.sum(value).alias(f"__sum_{name}") for value, name in sums.items()],
     )
-    before = (
-        Window.partitionBy(*keys)
-        .orderBy(*sort_columns([(bucket, way)]))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    by_bucket = Window.partitionBy(*keys).orderBy(*sort_columns([(bucket, way)]))
+    before = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+    after = by_bucket.rowsBetween(1, Window.unboundedFollowing)
     carry = totals.select(
         *[F.col(part).alias(f"__{part}") for part in parts],
         *[F.sum(f"__sum_{name}").over(before).alias(f"__pre_{name}") for name in sums.values()],
         *([F.sum("__rows").over(before).alias("__pre_count")] if count else []),
+        *([F.sum("__rows").over(after).alias("__post_count")] if count_down else []),
     )
     joined = local.join(carry, same_keys(parts))
-
     return joined.select(
         *df.columns,
         *[carried(f"__in_{name}", f"__pre_{name}").alias(name) for name in sums.values()],
         *([carried("__in_count", "__pre_count").alias(count)] if count else []),
+        *([carried("__in_count", "__post_count").alias(count_down)] if count_down else []),
     )

@@ -107,14 +107,18 @@ def sales_lines(orders: DataFrame, lines: DataFrame, products: DataFrame, p: Sal
     )
 
 
-def with_running_total(lines: DataFrame) -> DataFrame:
-    """Each customer's running total, a day of a customer at a time."""
+def with_history(lines: DataFrame, rank: str | None = None) -> DataFrame:
+    """Each customer's running total, a day of a customer at a time.
+
+    ``rank`` names the customer's line rank, newest day first, on request.
+    """
     return ranking.running_by_bucket(
         lines,
         ["customer_id"],
         "order_date",
         [("order_date", "asc"), *TIE_BREAK],
         sums={"line_total": "running_customer_total"},
+        count_down=rank,
     )
 
 
@@ -122,23 +126,15 @@ def stage_sales(orders: DataFrame, lines: DataFrame, products: DataFrame, p: Sal
     """Sales lines plus history, category count and revenue quartile columns.
 
     The quartile ranks all lines of the period; it is computed first because
-    its range shuffle writes a checkpoint that the other steps then read.
+    its range shuffle writes a table that the other steps then read.
     """
     base = sales_lines(orders, lines, products, p)
     tiled = ranking.global_ntile(base, [("line_total", "desc"), *TIE_BREAK], 4, "revenue_quartile")
-    ranked = ranking.running_by_bucket(
-        tiled,
-        ["customer_id"],
-        "order_date",
-        [("order_date", "desc"), *TIE_BREAK],
-        count="customer_order_rank",
-        way="desc",
-    )
     counts = tiled.groupBy("category_name").agg(F.count("*").alias("category_order_count"))
     # there are at most as many counts as categories, and those are checked to be few
     if fits_broadcast(products.select("category_name").distinct()):
         counts = F.broadcast(counts)
-    return with_running_total(ranked).join(counts, "category_name")
+    return with_history(tiled, "customer_order_rank").join(counts, "category_name")
 
 
 def daily_summary(lines: DataFrame) -> DataFrame:
@@ -195,7 +191,7 @@ def customer_profile(
     highest is the sum.
     """
     if p.min_amount < 0:
-        lines = with_running_total(lines)
+        lines = with_history(lines)
         lifetime = F.max("running_customer_total")
     else:
         lifetime = F.sum("line_total")

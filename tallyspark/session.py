@@ -19,6 +19,9 @@ def build_session(app: str = "tallyspark", master: str | None = None, **conf: st
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.decimalOperations.allowPrecisionLoss", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # HotSpot leaves generated methods above 8000 bytes of bytecode interpreted;
+        # beyond that size plain operators are faster
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )

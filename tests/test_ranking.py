@@ -81,6 +81,13 @@ def test_running_by_bucket(rows, way):
     same(R.running_by_bucket(rows, ["k"], "v", order, sums={"v": "s"}, count="n", way=way), expected)
 
 
+def test_count_down_takes_buckets_in_reverse(rows):
+    order = [("v", "asc"), ("id", "asc")]
+    w = W.partitionBy("k").orderBy(F.desc_nulls_last("v"), "id")
+    expected = rows.select("*", F.row_number().over(w).alias("n"))
+    same(R.running_by_bucket(rows, ["k"], "v", order, count_down="n"), expected)
+
+
 def test_tiles_differ_by_one(rows):
     sizes = [r["count"] for r in R.global_ntile(rows, ORDER, 7, "t").groupBy("t").count().collect()]
     assert len(sizes) == 7 and max(sizes) - min(sizes) <= 1
