@@ -237,40 +237,52 @@ def running_by_bucket(
 ) -> DataFrame:
     """Running sums and row numbers per key, split by a leading order column.
 
-    ``bucket`` is the first order column (a day, say), sorted ``way``. Rows
-    are windowed per (keys, bucket); what other buckets add comes from an
-    aggregate with one row per (keys, bucket). ``sums`` maps a value column
-    to its running-sum name and ``count`` names the row number, both over
-    ROWS in the given order. ``count_down`` names a row number that takes the
-    buckets in reverse and keeps the order within each.
+    ``bucket`` is the first order column (a day, say), sorted ``way``. What
+    other buckets add comes from an aggregate with one row per (keys,
+    bucket); that row is put in front of its bucket's rows, so one window
+    per (keys, bucket) gives the totals: one shuffle of the rows and no join.
+    ``sums`` maps a value column to its running-sum name and ``count`` names
+    the row number, both over ROWS in the given order. ``count_down`` names a
+    row number that takes the buckets in reverse and keeps the order within
+    each.
     """
     sums = sums or {}
-    counted = count or count_down
     parts = [*keys, bucket]
-    within = Window.partitionBy(*parts).orderBy(*sort_columns(order))
-    within = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = df.select(
-        "*",
-        *[F.sum(value).over(within).alias(f"__in_{name}") for value, name in sums.items()],
-        *([F.count(F.lit(1)).over(within).alias("__in_count")] if counted else []),
-    )
     totals = df.groupBy(*parts).agg(
         F.count("*").alias("__rows"),
         *[F.sum(value).alias(f"__sum_{name}") for value, name in sums.items()],
     )
+    kinds = {name: totals.schema[f"__sum_{name}"].dataType for name in sums.values()}
     by_bucket = Window.partitionBy(*keys).orderBy(*sort_columns([(bucket, way)]))
     before = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
     after = by_bucket.rowsBetween(1, Window.unboundedFollowing)
+    counts = {}
+    if count:
+        counts[count] = before
+    if count_down:
+        counts[count_down] = after
     carry = totals.select(
-        *[F.col(part).alias(f"__{part}") for part in parts],
-        *[F.sum(f"__sum_{name}").over(before).alias(f"__pre_{name}") for name in sums.values()],
-        *([F.sum("__rows").over(before).alias("__pre_count")] if count else []),
-        *([F.sum("__rows").over(after).alias("__post_count")] if count_down else []),
+        *parts,
+        *[F.sum(f"__sum_{name}").over(before).cast(kinds[name]).alias(f"__v_{name}") for name in kinds],
+        *[F.coalesce(F.sum("__rows").over(w), F.lit(0)).alias(f"__v_{name}") for name, w in counts.items()],
+        F.lit(0).alias("__kind"),
     )
-    joined = local.join(carry, same_keys(parts))
-    return joined.select(
-        *df.columns,
-        *[carried(f"__in_{name}", f"__pre_{name}").alias(name) for name in sums.values()],
-        *([carried("__in_count", "__pre_count").alias(count)] if count else []),
-        *([carried("__in_count", "__post_count").alias(count_down)] if count_down else []),
+    rows = df.select(
+        "*",
+        *[F.col(value).cast(kinds[name]).alias(f"__v_{name}") for value, name in sums.items()],
+        *[F.lit(1).cast("bigint").alias(f"__v_{name}") for name in counts],
+        F.lit(1).alias("__kind"),
+    )
+    within = Window.partitionBy(*parts).orderBy("__kind", *sort_columns(order))
+    within = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        rows.unionByName(carry, allowMissingColumns=True)
+        .select(
+            *df.columns,
+            "__kind",
+            *[F.sum(f"__v_{name}").over(within).cast(kinds[name]).alias(name) for name in kinds],
+            *[F.sum(f"__v_{name}").over(within).alias(name) for name in counts],
+        )
+        .where(F.col("__kind") == 1)
+        .drop("__kind")
     )
