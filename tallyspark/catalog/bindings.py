@@ -8,7 +8,10 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import MONEY, as_money
+from tallyspark.plans.commission import CommissionParams
+from tallyspark.plans.facts import FactsParams
 from tallyspark.plans.sales import SalesParams
+from tallyspark.sources import seeds
 
 c = F.col
 
@@ -166,8 +169,6 @@ def revenue_sql(by_customer_tier: bool) -> str:
 
 # --- commission ------------------------------------------------------------------------
 
-from tallyspark.plans.commission import CommissionParams  # noqa: E402
-
 COMMISSION_PARAMS = CommissionParams(
     start=dt.date(1995, 6, 1),
     end=dt.date(2000, 12, 31),
@@ -346,9 +347,7 @@ COMMISSION_SQL = f"""
 def _ladder(table: str, value_column: str, default: str) -> str:
     """A CASE over (group, territory, tier), from the same fixed values."""
     whens = []
-    from tallyspark.sources import seeds
-
-    for group, territory, *rates in seeds._rows(table):
+    for group, territory, *rates in seeds.table_rows(table):
         test = f"{value_column} = '{group}'"
         if territory != "OTHER":
             test += f" AND territory_group = '{territory}'"
@@ -362,8 +361,6 @@ def _ladder(table: str, value_column: str, default: str) -> str:
 
 
 def commission_sql() -> str:
-    from tallyspark.sources import seeds
-
     group = "(CASE WHEN category_name = 'Bikes' THEN subcategory_name ELSE category_name END)"
     discount = _ladder(seeds.DISCOUNT_RATES, group, "0.0")
     share = _ladder(seeds.COMMISSION_RATES, "category_name", "0.02")
@@ -424,8 +421,6 @@ def commission_sql() -> str:
 
 # --- customer facts -----------------------------------------------------------------------
 
-from tallyspark.plans.facts import FactsParams  # noqa: E402
-
 FACTS_PARAMS = FactsParams(
     start=dt.date(1996, 1, 1), end=dt.date(2000, 12, 31), as_of=dt.date(2001, 3, 1), tolerance=Decimal("0.5")
 )

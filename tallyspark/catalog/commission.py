@@ -249,7 +249,7 @@ def rules_values() -> str:
 
     rows = [
         f"({i}, {cell(cat, 1)}, {cell(sub, 1)}, {cell(group, 1)}, {cell(tier, 1)}, {disc}, {comm}, {cell(tax, 0)})"
-        for i, (cat, sub, group, tier, disc, comm, tax) in enumerate(seeds._rows(seeds.PRICING_RULES), 1)
+        for i, (cat, sub, group, tier, disc, comm, tax) in enumerate(seeds.table_rows(seeds.PRICING_RULES), 1)
     ]
     return (
         f"(SELECT rule_id::BIGINT AS rule_id, cat, sub, grp, tier, CAST(disc AS DECIMAL(5,4)) AS disc, CAST(comm AS DECIMAL(5,4)) AS comm, "

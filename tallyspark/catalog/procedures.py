@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.catalog.registry import query
 from tallyspark.functions import rules
-from tallyspark.functions.scalars import as_money
+from tallyspark.functions.scalars import as_money, safe_ratio
 from tallyspark.operators import changes, graph
 from tallyspark.plans import corpus, people
 from tallyspark.runlog import RunLog
@@ -137,7 +137,8 @@ def _(t):
     """,
 )
 def _(t):
-    tier = rules.customer_tier(c("c_acctbal") * 10, c("c_nationkey").try_cast("int") * 0 + F.when(c("c_nationkey") >= 3, 3).otherwise(0), lit(0))
+    orders = F.when(c("c_nationkey") >= 3, 3).otherwise(0)
+    tier = rules.customer_tier(c("c_acctbal") * 10, orders, lit(0))
     status = F.when(c("c_acctbal") > 5000, "Active").otherwise("Dormant")
     return t.customer.select("c_custkey", F.concat(status, lit(" ("), tier, lit(")")).alias("label"))
 
@@ -398,8 +399,6 @@ def _(t):
     """,
 )
 def _(t):
-    from tallyspark.functions.scalars import safe_ratio
-
     customers = t.customer.where("c_acctbal > 0").select(
         c("c_custkey").alias("customer_id"),
         c("c_name").alias("customer_name"),

@@ -116,7 +116,7 @@ TERRITORIES = ("North America", "Europe", "Pacific", OTHER)
 BIKE_GROUPS = ("Mountain Bikes", "Road Bikes", "Touring Bikes")
 
 
-def _rows(text: str) -> list[list[str | None]]:
+def table_rows(text: str) -> list[list[str | None]]:
     return [
         [None if cell == "-" else cell.replace("_", " ") for cell in line.split()]
         for line in text.strip().splitlines()
@@ -131,7 +131,7 @@ def pricing_rules(spark: SparkSession, effective: dt.date = RULES_FROM) -> DataF
     """The pricing rules, numbered from 1; a fixed table of 37 rows."""
     rows = [
         (i, cat, sub, group, tier, _decimal(disc), _decimal(comm), _decimal(tax), effective, None)
-        for i, (cat, sub, group, tier, disc, comm, tax) in enumerate(_rows(PRICING_RULES), start=1)
+        for i, (cat, sub, group, tier, disc, comm, tax) in enumerate(table_rows(PRICING_RULES), start=1)
     ]
     schema = (
         "rule_id int, category_name string, subcategory_name string, territory_group string, "
@@ -145,14 +145,14 @@ def tier_thresholds(spark: SparkSession, scale: int = 1) -> DataFrame:
     """Least revenue per tier and territory group, times ``scale``; 4 rows."""
     rows = [
         (territory, *[Decimal(bound) * scale for bound in bounds])
-        for territory, *bounds in _rows(TIER_THRESHOLDS)
+        for territory, *bounds in table_rows(TIER_THRESHOLDS)
     ]
     schema = "territory_key string, gold decimal(19,4), silver decimal(19,4), bronze decimal(19,4)"
     return spark.createDataFrame(rows, schema)
 
 
 def _by_key(text: str) -> dict[tuple[str, str], list[str]]:
-    return {(group, territory): rates for group, territory, *rates in _rows(text)}
+    return {(group, territory): rates for group, territory, *rates in table_rows(text)}
 
 
 def rate_table(spark: SparkSession) -> DataFrame:

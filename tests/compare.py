@@ -1,6 +1,8 @@
 """Run a named query and its SQL side by side.
 
-    python tests/compare.py [--sf 0.01] [name ...]
+    python tests/compare.py [--plain] [--sf 0.01] [name ...]
+
+``--plain`` takes a session with Spark's own defaults instead of the library's.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ import sys
 import time
 
 import duckdb
+from pyspark.sql import SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
@@ -66,13 +69,17 @@ def main(arguments: list[str]) -> int:
     import __spark_entry__ as entry
     from tallyspark.session import build_session
 
+    plain = arguments[:1] == ["--plain"]
+    arguments = arguments[1:] if plain else arguments
     scale = "0.01"
     if arguments[:1] == ["--sf"]:
         scale, arguments = arguments[1], arguments[2:]
     directory = f"/root/testdata/sf{scale}"
-    spark = build_session(
-        "compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"}
-    )
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"}
+    if plain:
+        spark = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
+    else:
+        spark = build_session("compare", "local[8]", **conf)
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(directory)
     queries, checks = entry.queries(), entry.oracle_sql()
@@ -90,12 +97,11 @@ def main(arguments: list[str]) -> int:
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         mark = "ok  " if problem is None else "FAIL"
         failed += problem is not None
-        if problem or "-v" in sys.argv or True:
-            print(f"{mark} {name} {time.time() - started:.2f}s {'' if name in checks else '(rows only)'} {problem or ''}", flush=True)
+        print(f"{mark} {name} {time.time() - started:.2f}s {'' if name in checks else '(rows only)'} {problem or ''}", flush=True)
     print(f"{len(chosen)} run, {failed} failed")
     spark.stop()
     return 1 if failed else 0
 
 
 if __name__ == "__main__":
-    sys.exit(main([a for a in sys.argv[1:] if a != "-v"]))
+    sys.exit(main(sys.argv[1:]))
