@@ -18,10 +18,12 @@ from tokenizers import Tokenizer
 
 #: White space in the sense of Unicode, the class \\s of the vocabularies' patterns.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Kept pieces of a worker; when there are more, it starts anew.
-KEPT_PIECES = 600_000
-KEPT_CHARS = 16_000_000
+#: Letters that both patterns end a word after, when one of these marks follows.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+PIECES = re.compile(f"[{WHITE}]*(?:[{LETTERS}]++(?=[.,;:!?|])|[^{WHITE}]+)|[{WHITE}]+")
+#: Kept pieces of a worker, of so many characters; when there are more, it starts anew.
+KEPT_PIECES = 1_500_000
+KEPT_CHARS = 32_000_000
 
 
 def vocabulary(name: str) -> str:
@@ -53,7 +55,9 @@ class Encoder:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
     def _learn(self, pieces: list[str]) -> None:
-        odd = [p for p in pieces if any(r in p.lower() for r in self.reserved)]
+        every = "\0".join(pieces).lower()
+        reserved = [r for r in self.reserved if r in every]
+        odd = [p for p in pieces if any(r in p.lower() for r in reserved)] if reserved else []
         if odd or self.mark is None:
             apart = set(odd) if self.mark is not None else set(pieces)
             self.kept.update(zip(apart, self.direct(list(apart)), strict=True))
@@ -61,7 +65,8 @@ class Encoder:
         for first in range(0, len(pieces), 4096):
             part = pieces[first : first + 4096]
             joined = self.mark.join(part) + self.mark
-            ids = np.array(self.marked.encode(joined, add_special_tokens=False).ids, dtype="<u4")
+            found = self.marked.encode_batch_fast([joined], add_special_tokens=False)[0]
+            ids = np.array(found.ids, dtype="<u4")
             ends = np.flatnonzero(ids == self.mark_id)
             packed, start = ids.tobytes(), 0
             for piece, end in zip(part, ends.tolist(), strict=True):
