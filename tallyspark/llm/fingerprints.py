@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 WORDS = 5
 K = 128
 #: Documents of one group when neighbours are looked up.
-GROUP = 2000
+GROUP = 250
 MOST_GROUPS = 100_000
 #: Quantiles at which ids are cut.
 CUTS = 50

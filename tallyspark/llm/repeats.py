@@ -129,11 +129,9 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
 def _hot_names(docs: DataFrame, length: int) -> DataFrame:
     """Names that one in ``HOT_SHARE`` sampled positions has: fewer than ``HOT_SHARE`` rows."""
     part = docs.where(F.pmod(F.xxhash64("row"), F.lit(HOT_PART)) == 0)
-    counts = materialise(
-        anchors(part, length).groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 8"), "counts"
-    )
+    counts = materialise(anchors(part, length).groupBy("name").agg(F.count(F.lit(1)).alias("n")), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = counts.where(F.col("n") * HOT_SHARE > total).orderBy(F.desc("n"), "name").limit(HOT_SHARE)
+    hot = counts.where((F.col("n") > 8) & (F.col("n") * HOT_SHARE > total)).orderBy(F.desc("n"), "name").limit(HOT_SHARE)
     return materialise(hot.select("name"), "hot")
 
 
