@@ -96,6 +96,10 @@ def _(t):
 )
 def _(t):
     schema = "id bigint, segment string, balance decimal(19,4)"
-    read = t.customer.select("c_custkey", "c_acctbal", F.from_json(_object(), schema).alias("o"))
-    same = (c("o.id") == c("c_custkey")) & (c("o.balance") == as_money(c("c_acctbal")))
+    read = t.customer.select("c_custkey", "c_mktsegment", "c_acctbal", F.from_json(_object(), schema).alias("o"))
+    same = (
+        c("o.id").eqNullSafe(c("c_custkey"))
+        & c("o.segment").eqNullSafe(F.nullif(c("c_mktsegment"), F.lit("BUILDING")))
+        & c("o.balance").eqNullSafe(as_money(c("c_acctbal")))
+    )
     return read.agg(F.count("*").alias("customers"), F.count_if(~same).alias("different"))

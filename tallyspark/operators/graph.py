@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def in_degree(edges: DataFrame) -> DataFrame:
     )
 
 
-def dependency_levels(edges: DataFrame, max_levels: int = 1000) -> DataFrame:
+def dependency_levels(edges: DataFrame) -> DataFrame:
     """Topological level per node: 0 depends on nothing, n on levels below n.
 
     ``edges`` holds (node, depends_on). Each round peels the nodes whose
@@ -30,7 +32,7 @@ def dependency_levels(edges: DataFrame, max_levels: int = 1000) -> DataFrame:
     nodes = left.select("node").union(left.select(F.col("depends_on").alias("node"))).distinct()
     pending = materialise(nodes)
     done = None
-    for level in range(max_levels):
+    for level in itertools.count():
         ready = pending.join(left.select("node").distinct(), "node", "left_anti")
         ready = materialise(ready)
         if ready.isEmpty():
@@ -40,7 +42,5 @@ def dependency_levels(edges: DataFrame, max_levels: int = 1000) -> DataFrame:
         blocked = ready.select(F.col("node").alias("depends_on"))
         left = materialise(left.join(blocked, "depends_on", "left_anti").select("node", "depends_on"))
         pending = materialise(pending.join(ready, "node", "left_anti"))
-    else:
-        raise ValueError(f"more than {max_levels} levels")
     stuck = pending.withColumn("level", F.lit(None).cast("int"))
     return stuck if done is None else done.unionByName(stuck)

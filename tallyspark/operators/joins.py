@@ -7,24 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
 
-
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a dimension has at most ``rows`` rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def join_dimension(
-    facts: DataFrame, dimension: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def join_dimension(facts: DataFrame, dimension: DataFrame, on, how: str = "inner") -> DataFrame:
     """Join a table expected to be small.
 
-    Broadcast when its row count was checked to be small; otherwise a plain
-    join, which Spark shuffles and, under AQE, splits where a key is hot.
+    Spark broadcasts it if its size, known from statistics or at run time, is
+    below the session's limit. Otherwise it is shuffled and, under AQE, split
+    where a key is hot.
     """
-    side = F.broadcast(dimension) if fits_broadcast(dimension, rows) else dimension
-    return facts.join(side, on, how)
+    return facts.join(dimension, on, how)
 
 
 def effective_on(day: Column, effective: Column, expiry: Column) -> Column:

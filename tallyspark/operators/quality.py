@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_PREDICATES = 1000
+#: Predicates evaluated in one pass over the data.
+PER_PASS = 300
 
 _WORDS = {"and", "or", "not", "is", "null", "in", "between", "like", "true", "false", "abs", "coalesce", "nullif"}
 _TOKEN = re.compile(r"\s*('(?:[^'])*'|\d+(?:\.\d+)?|[A-Za-z_]\w*|<=|>=|<>|!=|[-+*/%=<>(),])")
@@ -41,20 +42,27 @@ def predicate(text: str, columns: Sequence[str]) -> Column:
 def evaluate(df: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules with ``failed``: whether any row of ``df`` satisfies the predicate.
 
-    Rules share predicates, so the distinct texts (a bounded number of them)
-    are evaluated together in one pass over ``df`` and joined back.
+    Rules share predicates, so the distinct texts are evaluated together,
+    ``PER_PASS`` in one pass over ``df``, and joined back.
     """
-    texts = [row[0] for row in rules.select("predicate").distinct().limit(MAX_PREDICATES + 1).collect()]
-    if len(texts) > MAX_PREDICATES:
-        raise ValueError(f"more than {MAX_PREDICATES} different predicates")
-    texts.sort()
+    texts = sorted(row[0] for row in rules.select("predicate").distinct().collect())
+    outcome = _outcome(df, texts[:PER_PASS])
+    for start in range(PER_PASS, len(texts), PER_PASS):
+        outcome = outcome.union(_outcome(df, texts[start : start + PER_PASS]))
+    return rules.join(outcome, "predicate")  # one row per distinct predicate
+
+
+def _outcome(df: DataFrame, texts: Sequence[str]) -> DataFrame:
+    """(predicate, failed) for some predicates."""
+    if not texts:
+        return df.sparkSession.createDataFrame([], "predicate string, failed boolean")
     hits = df.agg(
         *[
             F.coalesce(F.bool_or(predicate(text, df.columns)), F.lit(False)).alias(f"p{i}")
             for i, text in enumerate(texts)
         ]
     )
-    outcome = hits.select(
+    return hits.select(
         F.explode(
             F.array(
                 *[
@@ -64,7 +72,6 @@ def evaluate(df: DataFrame, rules: DataFrame) -> DataFrame:
             )
         ).alias("o")
     ).select("o.*")
-    return rules.join(F.broadcast(outcome), "predicate")  # one row per distinct predicate
 
 
 def fail_counts(results: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ SCHEMA = (
     "run_id string, proc_name string, step_name string, step_status string, message string, "
     "started_utc timestamp, completed_utc timestamp"
 )
-MESSAGE_LENGTH = 2000
 
 
 def _now() -> dt.datetime:
@@ -38,9 +37,8 @@ class RunLog:
 
     def step(self, name: str, status: str, message: str | None = None, complete: bool = False) -> None:
         now = _now()
-        text = None if message is None else message[:MESSAGE_LENGTH]
         self.rows.append(
-            (self.run_id, self.proc_name, name, status, text, now, now if complete else None)
+            (self.run_id, self.proc_name, name, status, message, now, now if complete else None)
         )
 
     def flush(self) -> None:
