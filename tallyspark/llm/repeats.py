@@ -40,12 +40,12 @@ from tallyspark.session import materialise
 
 LENGTH = 200
 #: A name is hot when one in so many sampled positions of a part of the corpus has it.
-HOT_SHARE = 2000
+HOT_SHARE = 500
 #: The part that is looked at for hot names: one in so many documents.
 HOT_PART = 32
 #: Parts of a hot name's positions, and start distances that share a part of its surroundings.
 SALTS = 32
-STEP = 17
+STEP = 45
 #: Bytes of surroundings that a task sorts at a time, in whole names.
 SORT_BYTES = 2_000_000
 _BYTE = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.llm import (
     components,
@@ -26,6 +27,7 @@ from tallyspark.llm import (
     toxicity,
     urls,
 )
+from tallyspark.llm.common import ship
 
 DATA = "/root/testdata/sf0.001"
 LONG = " ".join(f"wort{i % 977}x{i % 13}" for i in range(30_000))
@@ -44,6 +46,36 @@ EDGES = [
     (10, "<|endoftext|> it's <|startoftext|>\x1c\u00a0\n x"),
 ]
 
+DOCUMENTS = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("lang", T.StringType()),
+        T.StructField("source", T.StringType()),
+        T.StructField("n_chars", T.LongType()),
+    ]
+)
+
+
+@pytest.fixture(scope="session")
+def llm(spark):
+    ship(spark)
+    return spark
+
+
+@pytest.fixture
+def make_docs(llm):
+    """Documents from (doc_id, text) pairs, with columns whose names the operators use themselves."""
+
+    def make(pairs, extra=("kept", "score", "hits", "spans", "row", "removed", "group", "label")):
+        rows = [(i, t, None, None, None if t is None else len(t)) for i, t in pairs]
+        frame = llm.createDataFrame(rows, DOCUMENTS)
+        for name in extra:
+            frame = frame.selectExpr("*", f"'mine' as {name}")
+        return frame
+
+    return make
+
 
 def rows(frame, *columns):
     return sorted((tuple(r[c] for c in columns) for r in frame.collect()), key=repr)
