@@ -53,7 +53,7 @@ def test_run_log(spark, tmp_path):
         1 / 0
     rows = spark.read.parquet(path)
     assert rows.select("run_id").distinct().count() == 2
-    assert rows.agg(F.max(F.length("message"))).first()[0] == 2000
+    assert rows.agg(F.max(F.length("message"))).first()[0] == 3000
     failed = rows.where("step_status = 'FAIL'").first()
     assert failed["step_name"] == "END" and "ZeroDivisionError" in failed["message"]
     assert failed["completed_utc"] is not None
