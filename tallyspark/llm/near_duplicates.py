@@ -10,9 +10,11 @@
    their full shingle sets. Members that end up in another component than the
    bucket's largest are compared with some further members, and those still
    apart with all members of the bucket in other components, except where
-   sizes or the distances to the centre (Jaccard distance is a metric) rule a
-   link out. So every pair that shares a band is decided, although members of
-   one component are not compared with each other.
+   sizes, the distances to the centre (Jaccard distance is a metric) or odd
+   sketches rule a link out. An odd sketch keeps the parity of the shingles of
+   each of some slots; sets differ in at least as many shingles as their
+   sketches in bits. So every pair that shares a band is decided, although
+   members of one component are not compared with each other.
 5. Links make components; a document's component is its least document id.
 """
 
@@ -35,6 +37,8 @@ from tallyspark.session import materialise
 #: 40 bands of 6: a pair of similarity 0.8 shares no band in 5 of a million cases.
 BANDS = 40
 ROWS = 6
+#: 64-bit words of a set's odd sketch.
+ODD = 16
 #: Elements handled at a time when signatures are computed.
 _BLOCK = 1 << 16
 _SHIFTS = np.arange(1, BANDS * ROWS + 1, dtype=np.uint32)[:, None]
@@ -87,8 +91,15 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def odd_sketch(found: np.ndarray) -> np.ndarray:
+    """For each slot whether it has an odd number of shingles, as signed 64-bit words."""
+    slots = (mix64(found ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(64 * ODD)).astype(np.int64)
+    odd = (np.bincount(slots, minlength=64 * ODD) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, two halves of the set's 128-bit hash, and the keys of its bands."""
+    """doc_id, n_shingles, two halves of the set's 128-bit hash, the keys of its bands, its odd sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -96,18 +107,20 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
             digests = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
             halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
             keys = band_keys(np.array([signature(s) for s in sets]))
-            ends = np.arange(0, (len(sets) + 1) * BANDS, BANDS, dtype=np.int32)
+            odd = np.concatenate([odd_sketch(s) for s in sets])
+            ends = np.arange(len(sets) + 1, dtype=np.int32)
             columns = [
                 batch.column("doc_id"),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(np.ascontiguousarray(halves[:, 0])),
                 pa.array(np.ascontiguousarray(halves[:, 1])),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel())),
+                pa.ListArray.from_arrays(pa.array(ends * BANDS), pa.array(keys.ravel())),
+                pa.ListArray.from_arrays(pa.array(ends * ODD), pa.array(odd)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "bands", "odd"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>"
+    schema = f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>, odd array<long>"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -154,7 +167,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: Fraction | float
     nodes = materialise(
         sketch.where("n_shingles > 0 and doc_id is not null")
         .groupBy("set_a", "set_b")
-        .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
+        .agg(
+            F.min("doc_id").alias("id"),
+            F.first("n_shingles").alias("n"),
+            F.first("bands").alias("bands"),
+            F.first("odd").alias("odd"),
+        ),
         "nodes",
     )
     member = materialise(_members(nodes), "members")
@@ -165,7 +183,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: Fraction | float
         "texts",
     )
     # Documents of one id with several texts: any of them may be its node's
-    links = materialise(_links(member, texts, size, limit), "links")
+    links = materialise(_links(member, nodes, texts, size, limit), "links")
     same = sketch.where("n_shingles > 0 and doc_id is not null").join(
         nodes.select("set_a", "set_b", "id"), ["set_a", "set_b"]
     )
@@ -199,7 +217,7 @@ def _members(nodes: DataFrame) -> DataFrame:
     return spread.join(buckets, "bucket")
 
 
-def _links(member: DataFrame, texts: DataFrame, size: int, limit: Fraction) -> DataFrame:
+def _links(member: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, limit: Fraction) -> DataFrame:
     """All links needed for the components of the pairs that share a band."""
     near = F.col("shared") * limit.denominator >= F.col("total") * limit.numerator
     fits = (
@@ -231,7 +249,10 @@ def _links(member: DataFrame, texts: DataFrame, size: int, limit: Fraction) -> D
         F.col("u").alias("centre"), F.col("v").alias("id"), (1 - F.col("shared") / F.col("total")).alias("far")
     )
     apart = materialise(
-        apart.join(centre, ["centre", "id"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))), "apart"
+        apart.join(centre, ["centre", "id"], "left")
+        .withColumn("far", F.coalesce("far", F.lit(0.0)))
+        .join(nodes.select("id", "bands", "odd"), "id"),
+        "apart",
     )
     others = apart.select(
         "bucket",
@@ -240,8 +261,19 @@ def _links(member: DataFrame, texts: DataFrame, size: int, limit: Fraction) -> D
         F.col("n").alias("m"),
         F.col("far").alias("far_v"),
         F.col("largest").alias("largest_v"),
+        F.col("bands").alias("bands_v"),
+        F.col("odd").alias("odd_v"),
     )
     slack = float(1 - limit) + 1e-9
+    # sets of n and m shingles are linked when they differ in (n + m) * (1 - limit) / (1 + limit) at most
+    differ = sum(
+        (F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("odd_v")[i])) for i in range(ODD)), F.lit(0)
+    )
+    may = differ * F.lit(limit.denominator + limit.numerator) <= (F.col("n") + F.col("m")) * F.lit(
+        limit.denominator - limit.numerator
+    )
+    # a pair counts in the first of its buckets alone
+    first = F.array_min(F.array_intersect("bands", "bands_v")) == F.col("bucket")
     rest = (
         apart.where(~F.col("largest"))
         .join(others, "bucket")
@@ -250,9 +282,10 @@ def _links(member: DataFrame, texts: DataFrame, size: int, limit: Fraction) -> D
             & (F.col("largest_v") | (F.col("id") < F.col("v")))
             & fits
             & (F.abs(F.col("far") - F.col("far_v")) <= slack)
+            & may
+            & first
         )
         .select(F.least("id", "v").alias("u"), F.greatest("id", "v").alias("v"))
-        .distinct()
     )
     for done in (compared, second):
         rest = rest.join(_pairs(done), ["u", "v"], "left_anti")
