@@ -10,12 +10,14 @@ the same distance from their starts.
 1. Sampled positions are named by their first bytes; each also carries a name
    of its surroundings, the bytes that strings through it can reach. Names
    that occur once end here: no string through them repeats.
-2. Positions of one name with equal surroundings are settled: all strings
-   through them repeat.
-3. The surroundings of the others, split by name over the tasks, are sorted
-   by suffix: sampled triples, recursion on their names, merge of the
-   remaining suffixes (``suffixes.py``). Neighbours with equal prefixes of
-   ``length`` bytes are repeats.
+2. Positions with equal surroundings are settled: all strings through them
+   repeat. One of them stands for all in what follows.
+3. The surroundings that differ are split by name over the tasks. A task parts
+   them by the bytes that strings of near starts have in common; what no other
+   excerpt shares ends here, and what is one text at several places is settled.
+   The rest is sorted by suffix: sampled triples, recursion on their names,
+   merge of the remaining suffixes (``suffixes.py``). Neighbours with equal
+   prefixes of ``length`` bytes are repeats.
 
 A name that a large part of the corpus shares is found on a sample first. Its
 positions are counted by parts, and its surroundings are dealt out by the
@@ -46,6 +48,8 @@ HOT_PART = 32
 #: Parts of a hot name's positions, and start distances that share a part of its surroundings.
 SALTS = 32
 STEP = 45
+#: Start distances that share a part of surroundings within a task.
+FINE_STEP = 14
 #: Bytes of surroundings that a task sorts at a time, in whole names.
 SORT_BYTES = 2_000_000
 _BYTE = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -136,12 +140,19 @@ def _hot_names(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _repeated(docs: DataFrame, length: int, hot: DataFrame) -> DataFrame:
-    """Sampled positions whose name occurs again: (row, at, name, hot, settled)."""
+    """Sampled positions whose name occurs again: (row, at, name, hot, settled, open).
+
+    ``open`` marks positions whose name has other surroundings, too; of those
+    with equal surroundings, one (of a hot name, one in each part).
+    """
     marked = anchors(docs, length).join(
         F.broadcast(hot.withColumn("hot", F.lit(True))), "name", "left"
     ).withColumn("hot", F.coalesce("hot", F.lit(False)))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("row", "at"), F.lit(SALTS))).otherwise(0)
-    group = Window.partitionBy("name", "salt")
+    placed = Window.partitionBy("name", "salt").orderBy("around")
+    group = placed.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    like_last = F.coalesce(F.lag("around").over(placed) == F.col("around"), F.lit(False))
+    like_next = F.coalesce(F.lead("around").over(placed) == F.col("around"), F.lit(False))
     seen = materialise(
         marked.withColumn("salt", salt)
         .select(
@@ -152,6 +163,8 @@ def _repeated(docs: DataFrame, length: int, hot: DataFrame) -> DataFrame:
             F.count(F.lit(1)).over(group).alias("n"),
             F.min("around").over(group).alias("low"),
             F.max("around").over(group).alias("high"),
+            (like_last | like_next).alias("twin"),
+            (~like_last).alias("first"),
         )
         .where("hot or n > 1"),
         "repeated",
@@ -167,28 +180,43 @@ def _repeated(docs: DataFrame, length: int, hot: DataFrame) -> DataFrame:
         "at",
         "name",
         "hot",
-        (F.coalesce("lowest", "low") == F.coalesce("highest", "high")).alias("settled"),
+        (F.col("twin") | (F.coalesce("lowest", "low") == F.coalesce("highest", "high"))).alias("settled"),
+        (F.col("first") & (F.coalesce("lowest", "low") != F.coalesce("highest", "high"))).alias("open"),
     )
 
 
+def _parts(data: bytes, at: int, length: int, step: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(near, begin, end, core) of the parts of an excerpt whose sampled position is ``at``.
+
+    A part holds the strings that start less than ``step`` places from one place
+    backwards; all of them hold its core.
+    """
+    step = min(step, length // 4)
+    for near in range(0, length - length // 3 + 1, step):
+        last = at - near
+        begin, end = max(0, last - step + 1), min(len(data), last + length)
+        if last >= 0 and end - begin >= length:
+            yield near, begin, end, data[last : last - step + 1 + length]
+
+
 def _surroundings(docs: DataFrame, open_positions: DataFrame, length: int) -> DataFrame:
-    """(key, row, first, bytes): excerpts; those that may hold equal strings have one key."""
+    """(key, row, first, at, bytes): excerpts; those that may hold equal strings have one key.
+
+    ``at`` is where in the excerpt its sampled position is, null where the key
+    stands for common bytes already.
+    """
     width = length - length // 3 + 1
     wanted = open_positions.groupBy("row").agg(F.collect_set(F.struct("at", "name", "hot")).alias("found"))
 
-    def cut(data: bytes, at: int, name: int, hot: bool) -> Iterator[tuple[int, int, bytes]]:
+    def cut(data: bytes, at: int, name: int, hot: bool) -> Iterator[tuple[int, int, int | None, bytes]]:
         low, high = max(0, at - width + 1), min(len(data), at + length)
         if not hot:
-            yield name, low, data[low:high]
+            yield name, low, at - low, data[low:high]
             return
-        for near in range(0, width, STEP):
-            # strings that start STEP places from ``last`` backwards share ``core``
-            last = at - near
-            begin, end = max(low, last - STEP + 1), min(high, last + length)
-            if last >= low and end - begin >= length:
-                core = data[last : last - STEP + 1 + length] + struct.pack("<qq", name, near)
-                digest = hashlib.blake2b(core, digest_size=8).digest()
-                yield int.from_bytes(digest, "little", signed=True), begin, data[begin:end]
+        for near, begin, end, core in _parts(data[low:high], at - low, length, STEP):
+            digest = hashlib.blake2b(core + struct.pack("<qq", name, near), digest_size=8).digest()
+            key = int.from_bytes(digest, "little", signed=True)
+            yield key, low + begin, None, data[low + begin : low + end]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 18):
@@ -197,58 +225,68 @@ def _surroundings(docs: DataFrame, open_positions: DataFrame, length: int) -> Da
             for row, text, found in zip(*columns, strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 for x in found:
-                    rows += [(k, row, b, piece) for k, b, piece in cut(data, x["at"], x["name"], x["hot"])]
+                    rows += [(k, row, b, a, piece) for k, b, a, piece in cut(data, x["at"], x["name"], x["hot"])]
             if rows:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, ["key", "row", "first", "bytes"])
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "row", "first", "at", "bytes"])
 
     return docs.select("row", "text").join(wanted, "row").mapInArrow(
-        run, "key long, row long, first long, bytes binary"
+        run, "key long, row long, first long, at long, bytes binary"
     )
 
 
 def _sorted_repeats(excerpts: DataFrame, length: int) -> DataFrame:
     """(row, first, end): runs of bytes of the excerpts that lie in repeated strings."""
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         """Excerpts of whole keys, about SORT_BYTES at a time."""
-        held: list[tuple[int, int, bytes]] = []
-        size, at = 0, None
+        held: list[tuple] = []
+        size, last = 0, None
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("key", "row", "first", "bytes"))
-            for key, row, first, data in zip(*columns, strict=True):
-                if key != at and size >= SORT_BYTES:
+            columns = (batch.column(c).to_pylist() for c in ("key", "row", "first", "at", "bytes"))
+            for key, row, first, at, data in zip(*columns, strict=True):
+                if key != last and size >= SORT_BYTES:
                     yield held
                     held, size = [], 0
-                at = key
-                held.append((row, first, data))
+                last = key
+                held.append((key, row, first, at, data))
                 size += len(data)
         if held:
             yield held
 
-    def repeats(held: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
+    def repeats(held: list[tuple]) -> Iterator[tuple[int, int, int]]:
+        # by common bytes: the texts there, and the places of each
+        parts: dict[tuple, dict[bytes, set[tuple[int, int]]]] = {}
+        for key, row, first, at, data in held:
+            if at is None:
+                parts.setdefault((key,), {}).setdefault(data, set()).add((row, first))
+                continue
+            for near, begin, end, core in _parts(data, at, length, FINE_STEP):
+                found = parts.setdefault((key, near, core), {})
+                found.setdefault(data[begin:end], set()).add((row, first + begin))
+        unsettled: dict[bytes, set[tuple[int, int]]] = {}
+        for found in parts.values():
+            for text, places in found.items():
+                if len(found) > 1:
+                    unsettled.setdefault(text, set()).update(places)
+                if len(places) > 1:
+                    yield from ((row, first, first + len(text)) for row, first in places)
         number: dict[int, int] = {}
-        places: dict[bytes, list[int]] = {}
-        entries: dict[bytes, set[tuple[int, int]]] = {}
-        for row, first, data in held:
-            place = number.setdefault(row, len(number)) << 40 | first
-            span = places.setdefault(data, [place, place])
-            span[0], span[1] = min(span[0], place), max(span[1], place)
-            entries.setdefault(data, set()).add((row, first))
-        texts = list(places)
-        low, high = (np.array([places[t][i] for t in texts], dtype=np.int64) for i in (0, 1))
+        texts = list(unsettled)
+        placed = [[number.setdefault(row, len(number)) << 40 | first for row, first in unsettled[t]] for t in texts]
+        low, high = (np.array([of(p) for p in placed], dtype=np.int64) for of in (min, max))
         for text, starts in zip(texts, repeated_starts(texts, low, high, length), strict=True):
-            if len(starts):
+            if len(starts) and len(unsettled[text]) == 1:
                 breaks = np.flatnonzero(np.diff(starts) > length)
                 begin = starts[np.concatenate([[0], breaks + 1])].tolist()
                 end = (starts[np.concatenate([breaks, [-1]])] + length).tolist()
-                for row, first in entries[text]:
+                for row, first in unsettled[text]:
                     yield from ((row, first + b, first + e) for b, e in zip(begin, end, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in groups(batches):
-            rows = list(repeats(held))
+            rows = list(dict.fromkeys(repeats(held)))
             for start in range(0, len(rows), 65536):
                 columns = zip(*rows[start : start + 65536], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "first", "end"])
@@ -276,7 +314,7 @@ def _runs(docs: DataFrame, key: str, length: int) -> DataFrame:
             (F.col("at") + length).alias("end"),
         )
     )
-    excerpts = _surroundings(plain, positions.where("not settled"), length)
+    excerpts = _surroundings(plain, positions.where("open"), length)
     spans = settled.union(_sorted_repeats(excerpts, length))
     runs = materialise(
         spans.groupBy("row").agg(F.collect_set(F.struct("first", "end")).alias("spans")), "spans"

@@ -48,7 +48,11 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
     width = n + 3
     below_one = np.searchsorted(s[one] * width + rank[one + 1], s[zeros] * width + rank[zeros + 1])
     both = np.concatenate([zeros, two])
-    pair = _names(s[both], s[both + 1]) * width + rank[both + 2]
+    most = int(s.max()) + 1
+    if most * most * width < 1 << 62:
+        pair = (s[both] * most + s[both + 1]) * width + rank[both + 2]
+    else:
+        pair = _names(s[both], s[both + 1]) * width + rank[both + 2]
     below_two = np.searchsorted(pair[len(zeros) :], pair[: len(zeros)])
     place = np.arange(len(zeros)) + below_one + below_two
     merged = np.empty(n, np.int64)
