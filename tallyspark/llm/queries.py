@@ -20,7 +20,7 @@ from tallyspark.llm import (
     urls,
 )
 from tallyspark.llm.common import remainder, table
-from tallyspark.session import fresh_path
+from tallyspark.session import fresh_path, materialise
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lengths.limits(lengths.histogram(lengths.encoded_lengths(docs)))
+    return lengths.limits(materialise(lengths.histogram(lengths.encoded_lengths(docs)), "histogram"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
