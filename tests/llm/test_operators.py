@@ -339,7 +339,7 @@ def test_near_duplicates_whose_links_only_a_whole_bucket_shows(make_docs):
     texts = []
     for i in range(60):
         own = list(base)
-        for at in rng.choice(60, 3 + i % 4, replace=False):
+        for at in rng.choice(60, 2 + i % 4, replace=False):
             own[at] = f"x{i // 2 if i % 3 else i}_{at}"
         texts.append(" ".join(own))
     pairs = list(enumerate(texts))
