@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from tallyspark.llm import (
     components,
@@ -93,6 +94,19 @@ def test_pieces_give_the_ids_of_the_whole_text(name):
     assert coder.encode(texts) == coder.direct(texts)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_reserved_tokens_in_texts_have_the_ids_of_the_library(name):
+    library = Tokenizer.from_file(encoding.vocabulary(name))
+    dice = random.Random(6)
+    signs = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", "a", "Bc", ".", " ", "  ", "\n", "e\u0301"]
+    texts = ["a <|endoftext|> b", "a<|endoftext|>b", *("".join(dice.choices(signs, k=12)) for _ in range(500))]
+    wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    coder = encoding.Encoder(name)
+    for found in (coder.encode(texts), coder.direct(texts)):
+        assert [np.frombuffer(x, "<u4").tolist() for x in found] == wanted
+    assert wanted[0] == ([64, 220, 50256, 275] if name.startswith("byte") else [320, 49407, 321])
+
+
 # 1 packing
 
 
