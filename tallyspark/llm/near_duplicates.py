@@ -324,6 +324,34 @@ def _apart(member: DataFrame, links: DataFrame) -> DataFrame | None:
 def drop_near_duplicates(
     docs: DataFrame, size: int = 5, threshold: Fraction | float = Fraction(4, 5)
 ) -> DataFrame:
-    """One document of each group of near duplicates, with all its columns: the one of least id."""
-    gone = near_duplicates(docs, size, threshold).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    """One row of each group of near duplicates, with all its columns: the one of least id.
+
+    Every row is judged by its own text: rows that repeat an id and rows with
+    a null id belong to groups like any others, a null id comes last, and
+    equal rows leave one. Rows are told apart by a 64-bit hash of id and text.
+    Texts without words are in no group, so all of them stay.
+    """
+    names, key = docs.columns, "near_row"
+    while key in names:
+        key += "_"
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    judged = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), size, threshold)
+    groups = materialise(
+        judged.where("n_shingles > 0")
+        .groupBy(F.col("doc_id").alias(key))
+        .agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("copies")),
+        "groups",
+    )
+    by_id = keyed.select(key, F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", key))
+    kept = groups.join(by_id, key).groupBy("component_id").agg(least[key].alias(key)).select(key)
+    kept = materialise(groups.join(kept, key).select(key, "copies"), "kept")
+    rest = keyed.join(groups.select(key).join(kept, key, "left_anti"), key, "left_anti")
+    copied = kept.where("copies > 1").select(key)
+    one = (
+        rest.join(copied, key, "left_semi")
+        .groupBy(key)
+        .agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("one"))
+        .select("one.*")
+    )
+    return rest.join(copied, key, "left_anti").select(*names).union(one)

@@ -337,6 +337,23 @@ def test_near_duplicates_edges(make_docs):
     assert kept.where("doc_id = 7").count() == 0 and kept.count() == len(EDGES) - 2
 
 
+def test_one_row_stays_of_repeated_rows_and_of_rows_without_id(make_docs):
+    dice = random.Random(9)
+    text = lambda: " ".join(f"w{dice.randint(0, 10**6)}" for _ in range(60))
+    twice, unnamed, both, near, versions, other = (text() for _ in range(6))
+    pairs = [(1, twice), (1, twice), (None, unnamed), (None, unnamed), (None, unnamed), (None, both), (2, both)]
+    pairs += [(None, near), (3, near + " more"), (4, versions), (4, versions + " more"), (4, other), (5, ""), (None, None)]
+    kept = near_duplicates.drop_near_duplicates(make_docs(pairs), 5)
+    assert kept.columns == make_docs(pairs).columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    wanted = [(1, twice), (None, unnamed), (2, both), (3, near + " more"), (4, other), (5, ""), (None, None)]
+    left = [r for r in got if r not in wanted]
+    assert sorted((r for r in got if r in wanted), key=repr) == sorted(wanted, key=repr)
+    assert len(left) == 1 and left[0] in ((4, versions), (4, versions + " more"))
+    cut = [(r.doc_id, r.text) for r in repeats.remove_repeats(kept, 200).collect()]
+    assert sorted(cut, key=repr) == sorted(got, key=repr)
+
+
 def test_odd_sketches_never_exceed_the_difference():
     rng = np.random.default_rng(5)
     for size, changed in ((10, 3), (150, 40), (5000, 900)):
