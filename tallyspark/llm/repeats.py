@@ -18,16 +18,16 @@ the same distance from their starts.
    The rest is sorted by suffix: sampled triples, recursion on their names,
    merge of the remaining suffixes (``suffixes.py``). Neighbours with equal
    prefixes of ``length`` bytes are repeats.
+4. Names of more than ``GROUP`` positions, counted exactly, never meet in a
+   task: every string through their positions is hashed, and Spark keeps the
+   least and the greatest place of each hash, partially aggregated.
 
-A name that a large part of the corpus shares is found on a sample first. Its
-positions are counted by parts, and its surroundings are dealt out by the
-bytes that their strings have in common beyond the name.
+A name that a large part of the corpus shares is found on a sample first, only
+to count its positions by parts.
 """
 
 from __future__ import annotations
 
-import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,9 +45,12 @@ LENGTH = 200
 HOT_SHARE = 500
 #: The part that is looked at for hot names: one in so many documents.
 HOT_PART = 32
-#: Parts of a hot name's positions, and start distances that share a part of its surroundings.
+#: Or, in a large corpus, when the part lets expect so many positions of it.
+HOT_COUNT = 20_000
+#: Parts of a hot name's positions.
 SALTS = 32
-STEP = 45
+#: Positions that a name has at most when its surroundings are compared in one task.
+GROUP = 2000
 #: Start distances that share a part of surroundings within a task.
 FINE_STEP = 14
 #: Bytes of surroundings that a task sorts at a time, in whole names.
@@ -131,18 +134,18 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _hot_names(docs: DataFrame, length: int) -> DataFrame:
-    """Names that one in ``HOT_SHARE`` sampled positions has: fewer than ``HOT_SHARE`` rows."""
+    """Names that one in ``HOT_SHARE`` sampled positions has, or ``HOT_COUNT`` in all: few beside the positions."""
     part = docs.where(F.pmod(F.xxhash64("row"), F.lit(HOT_PART)) == 0)
     counts = materialise(anchors(part, length).groupBy("name").agg(F.count(F.lit(1)).alias("n")), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = counts.where((F.col("n") > 8) & (F.col("n") * HOT_SHARE > total)).orderBy(F.desc("n"), "name").limit(HOT_SHARE)
-    return materialise(hot.select("name"), "hot")
+    many = (F.col("n") * HOT_SHARE > total) | (F.col("n") * HOT_PART > HOT_COUNT)
+    return materialise(counts.where((F.col("n") > 8) & many).select("name"), "hot")
 
 
 def _repeated(docs: DataFrame, length: int, hot: DataFrame) -> DataFrame:
-    """Sampled positions whose name occurs again: (row, at, name, hot, settled, open).
+    """Sampled positions whose name occurs again: (row, at, name, large, settled, open).
 
-    ``open`` marks positions whose name has other surroundings, too; of those
+    ``large`` marks names of more than ``GROUP`` positions, ``open`` positions whose name has other surroundings, too; of those
     with equal surroundings, one (of a hot name, one in each part).
     """
     marked = anchors(docs, length).join(
@@ -179,7 +182,7 @@ def _repeated(docs: DataFrame, length: int, hot: DataFrame) -> DataFrame:
         "row",
         "at",
         "name",
-        "hot",
+        (F.coalesce("all", "n") > GROUP).alias("large"),
         (F.col("twin") | (F.coalesce("lowest", "low") == F.coalesce("highest", "high"))).alias("settled"),
         (F.col("first") & (F.coalesce("lowest", "low") != F.coalesce("highest", "high"))).alias("open"),
     )
@@ -199,24 +202,18 @@ def _parts(data: bytes, at: int, length: int, step: int) -> Iterator[tuple[int,
             yield near, begin, end, data[last : last - step + 1 + length]
 
 
-def _surroundings(docs: DataFrame, open_positions: DataFrame, length: int) -> DataFrame:
-    """(key, row, first, at, bytes): excerpts; those that may hold equal strings have one key.
+def _around(docs: DataFrame, open_positions: DataFrame) -> DataFrame:
+    """(row, text, found): texts with all their open positions."""
+    found = F.collect_set(F.struct("at", "name", "large")).alias("found")
+    return docs.select("row", "text").join(open_positions.groupBy("row").agg(found), "row")
 
-    ``at`` is where in the excerpt its sampled position is, null where the key
-    stands for common bytes already.
+
+def _surroundings(around: DataFrame, length: int) -> DataFrame:
+    """(key, row, first, at, bytes): excerpts of names that are not large; key is the name.
+
+    ``at`` is where in the excerpt its sampled position is.
     """
     width = length - length // 3 + 1
-    wanted = open_positions.groupBy("row").agg(F.collect_set(F.struct("at", "name", "hot")).alias("found"))
-
-    def cut(data: bytes, at: int, name: int, hot: bool) -> Iterator[tuple[int, int, int | None, bytes]]:
-        low, high = max(0, at - width + 1), min(len(data), at + length)
-        if not hot:
-            yield name, low, at - low, data[low:high]
-            return
-        for near, begin, end, core in _parts(data[low:high], at - low, length, STEP):
-            digest = hashlib.blake2b(core + struct.pack("<qq", name, near), digest_size=8).digest()
-            key = int.from_bytes(digest, "little", signed=True)
-            yield key, low + begin, None, data[low + begin : low + end]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 18):
@@ -225,17 +222,65 @@ def _surroundings(docs: DataFrame, open_positions: DataFrame, length: int) -> Da
             for row, text, found in zip(*columns, strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 for x in found:
-                    rows += [(k, row, b, a, piece) for k, b, a, piece in cut(data, x["at"], x["name"], x["hot"])]
+                    if not x["large"]:
+                        at = x["at"]
+                        low = max(0, at - width + 1)
+                        rows.append((x["name"], row, low, at - low, data[low : at + length]))
             if rows:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, ["key", "row", "first", "at", "bytes"])
 
-    return docs.select("row", "text").join(wanted, "row").mapInArrow(
+    return around.where(F.exists("found", lambda x: ~x["large"])).mapInArrow(
         run, "key long, row long, first long, at long, bytes binary"
     )
 
 
+def _strings(around: DataFrame, length: int) -> DataFrame:
+    """(name, string, row, first): the strings through open positions of large names, by hash."""
+    width = length - length // 3 + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 18):
+            columns = (batch.column(c).to_pylist() for c in ("row", "text", "found"))
+            for row, text, found in zip(*columns, strict=True):
+                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                _Powers.reach(len(data) + 1)
+                prefix = np.zeros(len(data) + 1, np.uint64)
+                np.cumsum(_BYTE[data] * _Powers.up[: len(data)], out=prefix[1:])
+                large = [(x["at"], x["name"]) for x in found if x["large"]]
+                for start in range(0, len(large), 512):
+                    at, name = (np.array(c, np.int64) for c in zip(*large[start : start + 512], strict=True))
+                    first = at[:, None] - np.arange(width)
+                    holds = (first >= 0) & (first + length <= len(data))
+                    names = np.broadcast_to(name[:, None], first.shape)[holds]
+                    first = first[holds]
+                    string = mix64((prefix[first + length] - prefix[first]) * _Powers.down[first])
+                    arrays = [names, string.view(np.int64), np.full(len(first), row), first]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x, pa.int64()) for x in arrays], ["name", "string", "row", "first"]
+                    )
+
+    return around.where(F.exists("found", lambda x: x["large"])).mapInArrow(
+        run, "name long, string long, row long, first long"
+    )
+
+
+def _counted_repeats(around: DataFrame, length: int) -> DataFrame:
+    """(row, first, end): strings of large names that start at several places."""
+    strings = _strings(around, length)
+    place = F.struct("row", "first")
+    several = (
+        strings.groupBy("name", "string")
+        .agg(F.min(place).alias("least"), F.max(place).alias("most"))
+        .where("least <> most")
+        .select("name", "string")
+    )
+    return strings.join(several, ["name", "string"], "left_semi").select(
+        "row", "first", (F.col("first") + length).alias("end")
+    )
+
+
 def _sorted_repeats(excerpts: DataFrame, length: int) -> DataFrame:
     """(row, first, end): runs of bytes of the excerpts that lie in repeated strings."""
 
@@ -259,9 +304,6 @@ def _sorted_repeats(excerpts: DataFrame, length: int) -> DataFrame:
         # by common bytes: the texts there, and the places of each
         parts: dict[tuple, dict[bytes, set[tuple[int, int]]]] = {}
         for key, row, first, at, data in held:
-            if at is None:
-                parts.setdefault((key,), {}).setdefault(data, set()).add((row, first))
-                continue
             for near, begin, end, core in _parts(data, at, length, FINE_STEP):
                 found = parts.setdefault((key, near, core), {})
                 found.setdefault(data[begin:end], set()).add((row, first + begin))
@@ -314,8 +356,10 @@ def _runs(docs: DataFrame, key: str, length: int) -> DataFrame:
             (F.col("at") + length).alias("end"),
         )
     )
-    excerpts = _surroundings(plain, positions.where("open"), length)
-    spans = settled.union(_sorted_repeats(excerpts, length))
+    around = _around(plain, positions.where("open"))
+    spans = settled.union(_sorted_repeats(_surroundings(around, length), length))
+    if not positions.where("large and open").isEmpty():
+        spans = spans.union(_counted_repeats(around, length))
     runs = materialise(
         spans.groupBy("row").agg(F.collect_set(F.struct("first", "end")).alias("spans")), "spans"
     )

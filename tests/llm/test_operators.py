@@ -524,6 +524,30 @@ def test_repeats_of_hot_names(make_docs, monkeypatch):
     assert found_repeats(repeats.mark_repeats(docs, 200)) == plain_repeats(pairs, 200)
 
 
+def test_repeats_of_a_passage_too_common_for_one_task(make_docs, monkeypatch):
+    dice = random.Random(7)
+    line = lambda n: "".join(dice.choices("abcdefgh ", k=n))
+    shared = line(320)
+    pairs = [(i, line(dice.randint(9, 60)) + shared[dice.randint(0, 60) :] + line(20)) for i in range(2100)]
+    pairs += [(3000, (shared + line(70)) * 3), (5, pairs[5][1]), (3001, pairs[6][1])]
+    largest, sort = [], repeats._sorted_repeats
+
+    def watched(excerpts, length):
+        largest.append(excerpts.groupBy("key").count().agg(F.max("count")).first()[0] or 0)
+        return sort(excerpts, length)
+
+    monkeypatch.setattr(repeats, "_sorted_repeats", watched)
+    assert found_repeats(repeats.mark_repeats(make_docs(pairs), 200)) == plain_repeats(pairs, 200)
+    assert largest[0] <= 2000
+
+
+@pytest.mark.parametrize("length", [24, 200])
+def test_repeats_when_every_name_is_large(make_docs, monkeypatch, length):
+    monkeypatch.setattr(repeats, "GROUP", 1)
+    pairs = repeat_pairs(length)
+    assert found_repeats(repeats.mark_repeats(make_docs(pairs), length)) == plain_repeats(pairs, length)
+
+
 def test_repeats_empty_and_text(make_docs):
     assert repeats.mark_repeats(make_docs([]), 200).count() == 0
     pairs = repeat_pairs(200)
