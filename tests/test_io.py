@@ -104,6 +104,21 @@ def test_audit_over_several_batches(spark, tmp_path):
     assert spark.read.parquet(f"{auditor.root}/audit").count() == before
 
 
+def test_audit_places_images_that_arrive_late(spark):
+    fields, order = {"status": None}, [("ts", True), ("id", True)]
+    images = [(1, 10, 1, "b"), (2, 5, 1, "a"), (3, 20, 1, "c"), (4, 15, 1, "c"), (5, 7, 2, "x")]
+    feed = spark.createDataFrame(images, "id int, ts int, user_id int, status string")
+    order = [(name, _IMAGE_ORDER[0][1]) for name, _ in order]
+    auditor = audit.AuditStream(spark, "user_id", order, fields, ["id", "user_id"])
+    for batch, image in enumerate(images):
+        auditor.apply(feed.where(F.col("id") == image[0]), batch)
+    expected = changes.audit_feed(feed, "user_id", order, fields, ["id", "user_id"])
+    found = auditor.audit()
+    assert found.columns == expected.columns
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+    assert sorted(r.id for r in expected.collect()) == [1, 4]
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     def event(i, day):
         return (i, dt.datetime(2024, 1, day, 12), 1, "purchase", 1.0, "{}")
