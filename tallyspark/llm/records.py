@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import slices, texts
@@ -148,6 +148,11 @@ def _records(file: str, data: bytes) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def file_order(name: str) -> list[Column]:
+    """Order of the data files: by part number, which has more than five digits in a large set."""
+    return [F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long"), F.col(name)]
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """All records: doc_id, start (ids of all records before), n_tokens, ids (unsigned 32-bit).
 
@@ -156,7 +161,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     which there is one row per file.
     """
     sums = spark.read.parquet(f"{path}/index").groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(*file_order("file")).rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     return (
         _entries(spark, path)

@@ -426,6 +426,12 @@ def test_records_round_trip(make_docs, llm, tmp_path):
     assert records.read_records(llm, f"{tmp_path}/none").count() == 0
 
 
+def test_files_are_in_order_of_their_part_numbers(llm):
+    names = [f"part-{i:05d}-x.records" for i in (0, 9, 10000, 10001, 99999, 100000, 100001, 1000000)]
+    frame = llm.createDataFrame([(n,) for n in reversed(names)], "file string")
+    assert [r.file for r in frame.orderBy(*records.file_order("file")).collect()] == names
+
+
 def test_a_damaged_record_is_noticed():
     data = bytearray(records.frame(3, np.array([1, 70000, 3])) + b"\n" + records.frame(None, np.array([5])) + b"\n")
     first, ids, following = records.parse(bytes(data), 0)
