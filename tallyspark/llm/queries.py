@@ -14,10 +14,12 @@ from tallyspark.llm import (
     lengths,
     near_duplicates,
     packing,
+    periodic_runs,
     records,
     repeats,
     toxicity,
     urls,
+    vector_codes,
 )
 from tallyspark.llm.common import remainder, table
 from tallyspark.session import fresh_path, materialise
@@ -110,6 +112,40 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs, 6, 4)
+    # the greatest length, then the smallest start and period
+    longest = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("s"), (-r["period"]).alias("p")))
+    )
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.transform(lines, lambda line: F.concat(line, F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-longest["s"]).alias("start"),
+        longest["length"].alias("length"),
+        (-longest["p"]).alias("period"),
+        F.floor(1000 * longest["length"] / -longest["p"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = vector_codes.fit(vectors, parts=16, entries=64, rounds=2, scale=256)
+    coded = vector_codes.with_label_error(vector_codes.encode(vectors, books, keep=("vec_id", "label")))
+    return coded.select(
+        "vec_id",
+        F.lower(F.hex("code")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(books.sha256()).alias("codebooks_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -123,6 +159,8 @@ QUERIES = {
         op8_repeats,
         op9_fingerprints,
         op10_decontamination,
+        op12_periodic_runs,
+        op13_vector_codes,
     )
 }
 
