@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm import (
     decontamination,
     fingerprints,
+    html_text,
     language,
     lengths,
     near_duplicates,
@@ -112,6 +113,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = html_text.fit(html_text.labelled_table(spark))
+    return html_text.extract(table(spark, sf_dir, "pages"), model).withColumn(
+        "n_chars", F.char_length("text").cast("long")
+    )
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = periodic_runs.periodic_runs(docs, 6, 4)
@@ -159,6 +167,7 @@ QUERIES = {
         op8_repeats,
         op9_fingerprints,
         op10_decontamination,
+        op11_html_text,
         op12_periodic_runs,
         op13_vector_codes,
     )
@@ -166,6 +175,26 @@ QUERIES = {
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Each part's nearest entry of a codebook: distance and index, ties to the lower index.
+_NEAREST = """{a} AS MATERIALIZED (
+  SELECT vec_id, part, min(d) AS d, arg_min(entry, d * 64 + entry) AS entry FROM (
+    SELECT p.vec_id, p.part, b.entry,
+      CAST(list_sum(list_transform(list_zip(p.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+    FROM p JOIN {b} b USING (part)) GROUP BY vec_id, part
+)"""
+#: A round: floored means of the parts of each entry; entries without parts stay.
+_ROUND = (
+    _NEAREST
+    + """, {m} AS (
+  SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (
+    SELECT part, entry, i, sum(x) AS s, count(*) AS n FROM (
+      SELECT p.part, a.entry, unnest(p.c) AS x, unnest(range(len(p.c))) AS i FROM p JOIN {a} a USING (vec_id, part))
+    GROUP BY part, entry, i) GROUP BY part, entry
+), {n} AS MATERIALIZED (
+  SELECT part, entry, coalesce(m.c, b.c) AS c FROM {b} b LEFT JOIN {m} m USING (part, entry)
+)"""
+)
+
 SQL = {
     "op6_near_duplicates": rf"""
 WITH RECURSIVE w AS (
@@ -220,5 +249,27 @@ WITH d AS (
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
+""",
+    "op13_vector_codes": f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT vec_id, label, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] AS c
+  FROM k, range(16) AS t(part)
+), b0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, c
+  FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 64)
+), {_ROUND.format(b="b0", a="a1", m="m1", n="b1")}, {_ROUND.format(b="b1", a="a2", m="m2", n="b2")},
+{_NEAREST.format(b="b2", a="a3")}, s AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code,
+    CAST(sum(d) AS BIGINT) AS error
+  FROM a3 JOIN k USING (vec_id) GROUP BY vec_id
+), h AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM s, h
 """,
 }
