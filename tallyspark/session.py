@@ -54,13 +54,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
+def materialise(df: DataFrame, label: str = "stage", compression: str | None = None) -> DataFrame:
     """Write to the shared folder and read back, which cuts lineage.
 
     The table outlives lost executors, is read by column, and has a known
     size, so later joins with it can be planned from that. It stays until
-    the folder's owner expires it.
+    the folder's owner expires it. ``compression`` names a Parquet codec other
+    than the session's.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write.option("compression", compression) if compression else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
