@@ -19,10 +19,10 @@ shuffled by document and period and stitched where they touch.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,35 +37,15 @@ TILE_BOUNDARIES = 8
 PERIODS = 4
 #: Words before and after a boundary that a tile holds, in units of 2**octave.
 BACK, AHEAD = 1, 8
-#: Bytes of text turned into words at a time.
-PIECE_BYTES = 1 << 22
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self)
-        return value
-
-
-def _words(text: bytes) -> Iterator[list[bytes]]:
-    """Words, which blanks and the bytes 9 to 13 divide, in lists of bounded size."""
-    first = 0
-    while len(text) - first > PIECE_BYTES:
-        # a piece ends before a blank, if there is one
-        cut = max(text.rfind(blank, first, first + PIECE_BYTES) for blank in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-        if cut <= first:
-            break
-        yield text[first:cut].split()
-        first = cut
-    yield text[first:].split()
-
-
-def z_function(s: list[int]) -> list[int]:
-    """For each position above 0, how many items from there on equal those from the start on."""
+def z_function(s: list[int], size: int | None = None) -> list[int]:
+    """For each position above 0, and below ``size``, how many items from there on equal those from the start on."""
     n = len(s)
-    z = [0] * n
+    size = n if size is None else min(n, size)
+    z = [0] * size
     left = right = 0
-    for i in range(1, n):
+    for i in range(1, size):
         k = min(right - i, z[i - left]) if i < right else 0
         while i + k < n and s[k] == s[i + k]:
             k += 1
@@ -79,78 +59,116 @@ def _core(octave: int) -> int:
     return max(TILE_WORDS, TILE_BOUNDARIES << octave)
 
 
-def promising_tiles(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Document, octave and boundaries (by word number) of every tile in which a run may start.
+def _doubled(hashes: np.ndarray, octave: int) -> np.ndarray:
+    """Hashes of twice as many words, from those of 2**octave words at each position; none beyond the end equal any."""
+    step = 1 << octave
+    if len(hashes) <= step:
+        return np.arange(len(hashes), dtype=np.uint64)
+    joined = mix64(hashes[:-step] * np.uint64(0x9E3779B97F4A7C15) + hashes[step:])
+    return np.concatenate([joined, np.arange(len(hashes), len(hashes) + step, dtype=np.uint64)])
+
+
+def _word_hashes(codes: np.ndarray) -> np.ndarray:
+    return mix64(codes.astype(np.uint64) + np.uint64(1))
+
+
+def promising_tiles(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Document, octave, and first and last boundary (word numbers) of every tile in which a run may start.
 
     ``codes`` holds the documents in a row; a number that is not used anywhere
     else stands behind each of them.
     """
-    n = len(codes)
     owner = np.repeat(np.arange(len(starts)), sizes + 1)
-    place = np.arange(n) - starts[owner]
-    hashes = mix64(codes.astype(np.uint64) + np.uint64(1))
+    place = np.arange(len(codes)) - starts[owner]
+    hashes = _word_hashes(codes)
     octave = 0
     longest = int(sizes.max(initial=0))
     while PERIODS << octave <= longest:
         step = 1 << octave
-        # of 2 * step words from each position on
-        joined = hashes[:-step] * np.uint64(0x9E3779B97F4A7C15) + hashes[step:]
-        hashes = np.concatenate([mix64(joined), np.arange(n, n + step, dtype=np.uint64)])
+        hashes = _doubled(hashes, octave)
         later = np.flatnonzero(place >= step)
         boundary = later - (place[later] & (step - 1)) - step
-        found = np.unique(boundary[hashes[boundary] == hashes[later]])
+        found = boundary[hashes[boundary] == hashes[later]]
         core = _core(octave)
         tile = owner[found] * (longest // core + 1) + place[found] // core
-        for group in np.split(found, np.flatnonzero(np.diff(tile)) + 1):
-            if len(group):
-                yield int(owner[group[0]]), octave, place[group]
+        begins = np.flatnonzero(np.diff(tile, prepend=-1))
+        for first, last in zip(begins.tolist(), [*(begins[1:] - 1).tolist(), len(found) - 1], strict=False):
+            yield int(owner[found[first]]), octave, int(place[found[first]]), int(place[found[last]])
         octave += 1
 
 
-def solve_tile(words: np.ndarray, low: int, total: int, octave: int, boundaries: list[int]) -> list[tuple[int, int, int]]:
+def _candidates(words: np.ndarray, octave: int, first: int, last: int) -> tuple[list[int], list[int]]:
+    """Boundaries and periods of an octave for which 2**(octave + 1) words may be repeated one period later."""
+    step = 1 << octave
+    hashes = _word_hashes(words)
+    for lower in range(octave + 1):
+        hashes = _doubled(hashes, lower)
+    later = np.arange(first + step, min(len(words), last + 2 * step))
+    boundary = later - ((later - first) & (step - 1)) - step
+    equal = hashes[boundary] == hashes[later]
+    return boundary[equal].tolist(), (later - boundary)[equal].tolist()
+
+
+def solve_tile(words: np.ndarray, low: int, total: int, octave: int, first: int, last: int) -> list[tuple[int, int, int]]:
     """Intervals (period, first, last): words from ``first`` to before ``last`` are repeated one period later.
 
     ``words`` are numbers of the document's words from ``low`` on, ``total`` its
-    word count. Intervals end where the match does or where the tile does;
-    those that end inside and are too short for a run are left out.
+    word count, ``first`` and ``last`` the tile's outermost boundaries.
+    Intervals end where the match does or where the tile does; those that end
+    inside and are too short for a run are left out.
     """
-    step = 1 << octave
-    high = low + len(words)
-    open_, closed = {}, []
+    step, text = 1 << octave, words.tolist()
+    high = low + len(text)
+    open_: dict[int, tuple[int, int]] = {}
+    closed = []
 
     def close(period: int) -> None:
-        first, last = open_.pop(period)
-        whole = (first > low or low == 0) and (last + period < high or high == total)
-        if not whole or last - first + period >= PERIODS * period:
-            closed.append((period, first, last))
-
-    for boundary in boundaries:
-        b = boundary - low
-        ahead = words[b : b + AHEAD * step].tolist()
-        z = np.array(z_function(ahead), np.int64)
-        periods = np.arange(step, min(2 * step, len(z)))
-        periods = periods[z[periods] >= 2 * periods]
-        if not len(periods):
+        begin, end = open_.pop(period)
+        whole = (begin > 0 or low == 0) and (end + period < len(text) or high == total)
+        if not whole or end - begin + period >= PERIODS * period:
+            closed.append((period, low + begin, low + end))
+
+    # how far each period's matches are known, and whether the words looked at end there
+    known: dict[int, tuple[int, bool]] = {}
+    done = -1
+    for b, candidate in zip(*_candidates(words, octave, first - low, last - low), strict=True):
+        if b == done:
             continue
-        # the smallest period of the next 2 * q words must be q itself
-        reach = np.maximum.accumulate(z + np.arange(len(z)))
-        smallest = np.searchsorted(reach[1:], 2 * periods) + 1
-        periods = periods[smallest == periods]
-        if not len(periods):
+        end, cut = known.get(candidate, (0, False))
+        if b + 2 * candidate <= end or (b < end and not cut):
+            continue
+        done = b
+        ahead = text[b : b + AHEAD * step]
+        z = z_function(ahead, 2 * step)
+        reach, periods = 0, []
+        for period in range(1, len(z)):
+            reached = period + z[period]
+            if period >= step and z[period] >= 2 * period:
+                known[period] = (b + z[period], reached == len(ahead) and b + len(ahead) < len(text))
+                # the smallest period of the next two periods must be this one
+                if reach < 2 * period:
+                    periods.append(period)
+            if reached > reach:
+                reach = reached
+        if not periods:
             continue
         back = min(b, BACK * step)
-        behind = words[b - back : b][::-1].tolist()
-        after = words[b : b + 2 * step - 1][::-1].tolist()
-        zb = z_function([*behind, -1, *after])
-        for period in periods.tolist():
-            reached = zb[back + 1 + len(after) - period] if back else 0
-            first, last = boundary - reached, boundary + int(z[period])
-            if period in open_ and first <= open_[period][1]:
-                open_[period] = (open_[period][0], max(last, open_[period][1]))
+        after = text[b : b + 2 * step - 1][::-1]
+        behind = z_function([*text[b - back : b][::-1], -1, *after])
+        for period in periods:
+            begin = b - (behind[back + 1 + len(after) - period] if back else 0)
+            end, cut = known[period]
+            if cut:
+                # a run goes on behind the words looked at: follow it to its end in the tile
+                differs = words[end + period :] != words[end : len(text) - period]
+                end = end + int(differs.argmax()) if differs.any() else len(text) - period
+                known[period] = (end, False)
+            if period in open_ and begin <= open_[period][1]:
+                open_[period] = (open_[period][0], max(end, open_[period][1]))
             else:
                 if period in open_:
                     close(period)
-                open_[period] = (first, last)
+                open_[period] = (begin, end)
     for period in list(open_):
         close(period)
     return closed
@@ -158,67 +176,76 @@ def solve_tile(words: np.ndarray, low: int, total: int, octave: int, boundaries:
 
 _FIELDS = [
     T.StructField("__n", T.LongType()),
-    T.StructField("__words", T.BinaryType()),
+    T.StructField("__words", T.StringType()),
     T.StructField("__tiled", T.BooleanType()),
     T.StructField("__octave", T.IntegerType()),
     T.StructField("__low", T.LongType()),
-    T.StructField("__boundaries", T.BinaryType()),
+    T.StructField("__first", T.LongType()),
+    T.StructField("__last", T.LongType()),
     T.StructField("__codes", T.BinaryType()),
 ]
 #: Bytes of tiles in one batch.
 BATCH_BYTES = 1 << 22
 
 
-def _numbered(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+def _numbered(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Texts with one blank between words, and their words as numbers (see ``promising_tiles``)."""
-    numbers, parts, joined, sizes = _Numbers(), [], [], []
-    for text in texts:
-        pieces = []
-        for words in _words(text or b""):
-            parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-            pieces.append((len(words), b" ".join(words)))
-        joined.append(b" ".join(piece for count, piece in pieces if count))
-        sizes.append(sum(count for count, _ in pieces))
-        parts.append(np.array([-1]))
-    codes, counts = np.concatenate(parts), np.array(sizes, np.int64)
+    # blanks and the bytes 9 to 13; there may be empty words at both ends
+    split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts, "")))
+    words = split.flatten().dictionary_encode()
+    counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = pc.equal(pc.binary_length(pc.ascii_trim_whitespace(pc.fill_null(texts, ""))), 0).to_numpy(zero_copy_only=False)
+    numbers = words.indices.to_numpy().astype(np.int64)
+    # an empty text splits into one empty word
+    numbers = numbers[np.repeat(~empty, counts)]
+    counts[empty] = 0
     starts = np.cumsum(counts + 1) - counts - 1
-    codes[starts + counts] = len(numbers) + np.arange(len(counts))
-    return joined, codes, starts, counts
+    codes = np.empty(len(numbers) + len(counts), np.int64)
+    ends = starts + counts
+    inside = np.ones(len(codes), bool)
+    inside[ends] = False
+    codes[inside] = numbers
+    codes[ends] = len(words.dictionary) + np.arange(len(counts))
+    return pc.binary_join(split, " "), codes, starts, counts
 
 
 def _explode(id_field: T.StructField):
     """Rows of tiles, and a row for each document behind its tiles."""
     names = ["__key", id_field.name, *[field.name for field in _FIELDS]]
 
-    def batch_of(source, taken, rows):
-        taken = pa.array(taken, pa.int64())
-        types = [pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        columns = zip(*rows, strict=True)
-        made = [pa.array(column, kind) for column, kind in zip(columns, types, strict=True)]
-        return pa.RecordBatch.from_arrays(
-            [source.column("__key").take(taken), source.column(id_field.name).take(taken), *made], names=names
-        )
+    def batch_of(source, taken, columns):
+        ids = [source.column(name).take(pa.array(taken, pa.int64())) for name in ("__key", id_field.name)]
+        return pa.RecordBatch.from_arrays([*ids, *columns], names=names)
 
     def rows(batches):
         for batch in slices(batches, "__text"):
-            joined, codes, starts, sizes = _numbered(batch.column("__text").to_pylist())
+            joined, codes, starts, sizes = _numbered(batch.column("__text"))
             tiled = np.zeros(len(sizes), bool)
+            narrow = np.uint16 if len(codes) and codes.max() < 1 << 16 else np.int32
             taken, found, held = [], [], 0
-            for doc, octave, boundaries in promising_tiles(codes, starts, sizes):
-                low = max(0, int(boundaries[0]) - (BACK << octave))
-                high = min(int(sizes[doc]), int(boundaries[-1]) + (AHEAD << octave))
-                words = codes[starts[doc] + low : starts[doc] + high].astype(np.int32).tobytes()
+
+            def tiles(found=found):
+                kinds = [pa.int64(), pa.string(), pa.bool_(), pa.int32(), *[pa.int64()] * 3, pa.binary()]
+                return [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)]
+
+            for doc, octave, first, last in promising_tiles(codes, starts, sizes):
+                low = max(0, first - (BACK << octave))
+                high = min(int(sizes[doc]), last + (AHEAD << octave))
+                words = codes[starts[doc] + low : starts[doc] + high].astype(narrow).tobytes()
                 tiled[doc] = True
                 taken.append(doc)
-                found.append((int(sizes[doc]), None, True, octave, low, boundaries.tobytes(), words))
+                found.append((int(sizes[doc]), None, True, octave, low, first, last, words))
                 held += len(words)
                 if held > BATCH_BYTES:
-                    yield batch_of(batch, taken, found)
-                    taken, found, held = [], [], 0
+                    yield batch_of(batch, taken, tiles())
+                    taken.clear()
+                    found.clear()
+                    held = 0
             if taken:
-                yield batch_of(batch, taken, found)
-            documents = zip(sizes.tolist(), joined, tiled.tolist(), strict=True)
-            yield batch_of(batch, range(len(sizes)), [(n, text, t, None, None, None, None) for n, text, t in documents])
+                yield batch_of(batch, taken, tiles())
+            n = len(sizes)
+            none = [pa.nulls(n, kind) for kind in (pa.int32(), *[pa.int64()] * 3, pa.binary())]
+            yield batch_of(batch, range(n), [pa.array(sizes), joined, pa.array(tiled), *none])
 
     return rows, T.StructType([T.StructField("__key", T.LongType()), id_field, *_FIELDS])
 
@@ -226,9 +253,12 @@ def _explode(id_field: T.StructField):
 def _solve(batches):
     for batch in batches:
         found = []
-        for key, total, octave, low, boundaries, codes in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-            words, at = np.frombuffer(codes, np.int32), np.frombuffer(boundaries, np.int64).tolist()
-            found += [(key, *interval) for interval in solve_tile(words, low, total, octave, at)]
+        for key, total, octave, low, first, last, codes in zip(
+            *(column.to_pylist() for column in batch.columns), strict=True
+        ):
+            size = min(total, last + (AHEAD << octave)) - low
+            words = np.frombuffer(codes, np.uint16 if len(codes) == 2 * size else np.int32)
+            found += [(key, *interval) for interval in solve_tile(words, low, total, octave, first, last)]
         columns = list(zip(*found, strict=True)) or [[]] * 4
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(column), pa.int64()) for column in columns], names=["__key", "period", "first", "last"]
@@ -260,14 +290,14 @@ def _collapse(id_name: str):
                 if not runs:
                     kept.append(text)
                     continue
-                words = text.split(b" ")
+                words = text.split(" ")
                 change = np.zeros(len(words) + 1, np.int64)
                 for run in runs:
                     change[run["start"] + run["period"]] += 1
                     change[run["start"] + run["length"]] -= 1
-                kept.append(b" ".join([words[i] for i in np.flatnonzero(np.cumsum(change)[:-1] == 0).tolist()]))
+                kept.append(" ".join([words[i] for i in np.flatnonzero(np.cumsum(change)[:-1] == 0).tolist()]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_name), batch.column("n_words"), batch.column("runs"), pa.array(kept, pa.binary())],
+                [batch.column(id_name), batch.column("n_words"), batch.column("runs"), pa.array(kept, pa.string())],
                 names=[id_name, "n_words", "runs", "collapsed"],
             )
 
@@ -288,12 +318,12 @@ def periodic_runs(docs: DataFrame, min_length: int = 6, min_periods: int = PERIO
         raise ValueError(f"runs of less than {PERIODS} periods are not found")
     ship(docs.sparkSession)
     named = docs.select(
-        F.monotonically_increasing_id().alias("__key"), doc_id, F.col("text").cast("binary").alias("__text")
+        F.monotonically_increasing_id().alias("__key"), doc_id, F.col("text").cast("string").alias("__text")
     )
     explode, schema = _explode(docs.schema[doc_id])
-    stage = materialise(named.mapInArrow(explode, schema), "runs")
+    stage = materialise(named.mapInArrow(explode, schema), "runs", "zstd")
     tiles = stage.where(F.col("__octave").isNotNull()).repartition("__key", "__octave", "__low")
-    intervals = tiles.select("__key", "__n", "__octave", "__low", "__boundaries", "__codes").mapInArrow(
+    intervals = tiles.select("__key", "__n", "__octave", "__low", "__first", "__last", "__codes").mapInArrow(
         _solve, "__key long, period long, first long, last long"
     )
     length = F.col("last") - F.col("first") + F.col("period")
@@ -311,12 +341,12 @@ def periodic_runs(docs: DataFrame, min_length: int = 6, min_periods: int = PERIO
     output = T.StructType(
         [
             docs.schema[doc_id],
-            *T.StructType.fromDDL("n_words long, runs array<struct<start:long,length:long,period:long>>, collapsed binary").fields,
+            *T.StructType.fromDDL("n_words long, runs array<struct<start:long,length:long,period:long>>, collapsed string").fields,
         ]
     )
     cut = tiled.select(doc_id, "n_words", "runs", "__words").mapInArrow(_collapse(doc_id), output)
     plain = rows.where("not __tiled").select(doc_id, "n_words", none.alias("runs"), F.col("__words").alias("collapsed"))
-    return cut.unionByName(plain).withColumn("collapsed", F.col("collapsed").cast("string"))
+    return cut.unionByName(plain)
 
 
 def words_of(text: Column) -> Column:

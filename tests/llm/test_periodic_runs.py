@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -128,13 +129,13 @@ def test_tiles_of_any_size(monkeypatch, tile, boundaries):
         words = [rng.choice("ab") for _ in range(rng.randint(0, 40))]
         unit = [rng.choice("abc") for _ in range(rng.randint(1, 25))]
         words += (unit * 9)[: rng.randint(0, 9 * len(unit))] + [rng.choice("ab") for _ in range(rng.randint(0, 40))]
-        _, codes, starts, sizes = periodic_runs._numbered([" ".join(words).encode(), b"other a a"])
+        _, codes, starts, sizes = periodic_runs._numbered(pa.array([" ".join(words), "other a a"]))
         intervals = []
-        for doc, octave, at in periodic_runs.promising_tiles(codes, starts, sizes):
-            low = max(0, int(at[0]) - (periodic_runs.BACK << octave))
-            high = min(int(sizes[doc]), int(at[-1]) + (periodic_runs.AHEAD << octave))
+        for doc, octave, first, last in periodic_runs.promising_tiles(codes, starts, sizes):
+            low = max(0, first - (periodic_runs.BACK << octave))
+            high = min(int(sizes[doc]), last + (periodic_runs.AHEAD << octave))
             part = codes[starts[doc] + low : starts[doc] + high]
-            found = periodic_runs.solve_tile(part, low, int(sizes[doc]), octave, at.tolist())
+            found = periodic_runs.solve_tile(part, low, int(sizes[doc]), octave, first, last)
             intervals += [x for x in found if doc == 0]
         runs = set()
         for period in {p for p, _, _ in intervals}:
@@ -148,10 +149,17 @@ def test_tiles_of_any_size(monkeypatch, tile, boundaries):
         assert sorted(runs, key=lambda r: (r[0], r[2])) == plain_runs(words)
 
 
-def test_words_are_cut_the_same_way_in_pieces(monkeypatch):
-    monkeypatch.setattr(periodic_runs, "PIECE_BYTES", 7)
-    for text in (b"", b"  ", b"a b\tc\nd e f gg hhh iiiiiiiiiiiiiiii j k", b"x" * 50, b" " * 50 + b"y"):
-        assert [w for words in periodic_runs._words(text) for w in words] == text.split()
+def test_words():
+    texts = [None, "", "  ", "a", " a  b\tc\x0b\x0c\r\nd ", "\x1c x\u00a0y \x85", "a b a"]
+    joined, codes, starts, sizes = periodic_runs._numbered(pa.array(texts))
+    assert joined.to_pylist() == [" ".join(split(t)) for t in texts]
+    assert sizes.tolist() == [len(split(t)) for t in texts]
+    every = [codes[s : s + n].tolist() for s, n in zip(starts.tolist(), sizes.tolist())]
+    names = [w for t in texts for w in split(t)]
+    flat = [x for part in every for x in part]
+    assert len(set(zip(names, flat))) == len(set(names)) == len(set(flat))
+    ends = codes[starts + sizes].tolist()
+    assert len(set(ends)) == len(texts) and not set(ends) & set(flat)
 
 
 def test_z_function():
@@ -159,6 +167,7 @@ def test_z_function():
     for _ in range(200):
         s = [rng.choice([0, 1]) for _ in range(rng.randint(0, 20))]
         z = periodic_runs.z_function(s)
+        assert periodic_runs.z_function(s, 5) == z[:5]
         for i in range(1, len(s)):
             assert s[i : i + z[i]] == s[: z[i]]
             assert i + z[i] == len(s) or s[z[i]] != s[i + z[i]]
