@@ -12,6 +12,7 @@ results equal those of a full search.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ from tallyspark.session import materialise
 #: Cells of one part position that a task keeps; when there are more, it starts anew.
 KEPT_CELLS = 100_000
 #: Vectors handled at a time inside a task.
-ROWS = 2_048
+ROWS = 8_192
 
 
 @dataclass(frozen=True)
@@ -61,12 +62,12 @@ class CellSearch:
 
     @staticmethod
     def _side(entries: np.ndarray) -> int:
-        """Edge of a cell: the typical distance of an entry to its nearest other one, along one axis."""
+        """Edge of a cell: twice the typical distance of an entry to its nearest other one, along one axis."""
         if len(entries) < 2:
             return 1 << 40
         apart = ((entries[:, None] - entries[None]) ** 2).sum(2)
         np.fill_diagonal(apart, np.iinfo(np.int64).max)
-        return max(1, int((float(np.median(apart.min(1))) / entries.shape[1]) ** 0.5))
+        return max(1, int(2 * (float(np.median(apart.min(1))) / entries.shape[1]) ** 0.5))
 
     def candidates(self, low: np.ndarray) -> list[np.ndarray]:
         """Ascending indexes of the entries not dominated across the box at each cell's low corner."""
@@ -86,9 +87,17 @@ class CellSearch:
     def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index and squared distance of each vector's nearest entry."""
         cells = np.ascontiguousarray(vectors // self.side)
-        keys = cells.view(np.dtype((np.void, cells.dtype.itemsize * cells.shape[1]))).ravel()
-        distinct, first, cell_of = np.unique(keys, return_index=True, return_inverse=True)
-        names = [key.tobytes() for key in distinct]
+        low, high = cells.min(axis=0), cells.max(axis=0)
+        spans = (high - low + 1).tolist()
+        if math.prod(spans) < 1 << 62:
+            # numbered within this batch's range, which sorts faster than rows
+            keys = np.zeros(len(cells), np.int64)
+            for column, (least, span) in enumerate(zip(low.tolist(), spans, strict=True)):
+                keys = keys * span + (cells[:, column] - least)
+        else:
+            keys = cells.view(np.dtype((np.void, cells.dtype.itemsize * cells.shape[1]))).ravel()
+        _, first, cell_of = np.unique(keys, return_index=True, return_inverse=True)
+        names = [row.tobytes() for row in cells[first]]
         lists = [self.cells.get(name) for name in names]
         new = [i for i, known in enumerate(lists) if known is None]
         if new:
@@ -101,11 +110,15 @@ class CellSearch:
         count = sizes[cell_of]
         start = np.cumsum(count) - count
         row = np.repeat(np.arange(len(vectors)), count)
-        entry = np.concatenate(lists)[np.arange(len(row)) - start[row] + begins[cell_of][row]]
-        distance = ((vectors[row] - self.entries[entry]) ** 2).sum(1)
+        entry = np.concatenate(lists)[np.arange(len(row)) + np.repeat(begins[cell_of] - start, count)]
+        distance = np.zeros(len(row), np.int64)
+        for column, values in zip(vectors.T, self.entries.T, strict=True):
+            # a component at a time: no matrix of all pairs
+            apart = np.take(column, row) - np.take(values, entry)
+            distance += apart * apart
         least = np.minimum.reduceat(distance, start)
-        hits = np.flatnonzero(distance == least[row])
-        hits = hits[np.unique(row[hits], return_index=True)[1]]
+        hits = np.flatnonzero(distance == np.repeat(least, count))
+        hits = hits[np.diff(row[hits], prepend=-1) > 0]
         return entry[hits], least
 
 
@@ -187,8 +200,10 @@ def _round(usable: DataFrame, books: Codebooks) -> Codebooks:
             codes, _ = _search(books, vectors, cells)
             parted = vectors.reshape(len(vectors), books.parts, -1)
             for part in range(books.parts):
-                np.add.at(sums[part], codes[:, part], parted[:, part])
-                counts[part] += np.bincount(codes[:, part], minlength=shape[1])
+                order = np.argsort(codes[:, part], kind="stable")
+                used, first, count = np.unique(codes[order, part], return_index=True, return_counts=True)
+                sums[part, used] += np.add.reduceat(parted[order, part], first, axis=0)
+                counts[part, used] += count
         slot = np.flatnonzero(np.repeat(counts.ravel() > 0, shape[2]))
         yield pa.record_batch(
             {"slot": slot, "total": sums.ravel()[slot], "count": np.repeat(counts.ravel(), shape[2])[slot]}
