@@ -14,99 +14,99 @@ OTHER = "OTHER"
 # territory group, tier, discount, commission, tax override (None = no override).
 # All are in force from RULES_FROM with no end.
 RULES_FROM = dt.date(2019, 1, 1)
-PRICING_RULES = """
-Bikes        Mountain_Bikes  North_America  Gold      0.1200  0.0500  -
-Bikes        Mountain_Bikes  North_America  Silver    0.0800  0.0450  -
-Bikes        Mountain_Bikes  North_America  Bronze    0.0500  0.0400  -
-Bikes        Mountain_Bikes  North_America  Standard  0.0000  0.0350  -
-Bikes        Mountain_Bikes  Europe         Gold      0.1300  0.0520  0.2000
-Bikes        Mountain_Bikes  Europe         Silver    0.0900  0.0470  0.2000
-Bikes        Mountain_Bikes  Europe         Bronze    0.0600  0.0420  0.2000
-Bikes        Mountain_Bikes  Europe         Standard  0.0100  0.0370  0.2000
-Bikes        Mountain_Bikes  Pacific        Gold      0.1100  0.0480  0.1000
-Bikes        Mountain_Bikes  Pacific        Silver    0.0750  0.0430  0.1000
-Bikes        Road_Bikes      North_America  Gold      0.1150  0.0510  -
-Bikes        Road_Bikes      North_America  Silver    0.0780  0.0460  -
-Bikes        Road_Bikes      North_America  Bronze    0.0480  0.0410  -
-Bikes        Road_Bikes      North_America  Standard  0.0000  0.0360  -
-Bikes        Road_Bikes      Europe         Gold      0.1250  0.0530  0.2000
-Bikes        Road_Bikes      Europe         Silver    0.0850  0.0480  0.2000
-Bikes        Road_Bikes      Pacific        Gold      0.1050  0.0490  0.1000
-Bikes        Touring_Bikes   North_America  Gold      0.1100  0.0500  -
-Bikes        Touring_Bikes   Europe         Gold      0.1200  0.0520  0.2000
-Components   -               North_America  Gold      0.0800  0.0300  -
-Components   -               North_America  Silver    0.0600  0.0280  -
-Components   -               North_America  Bronze    0.0400  0.0260  -
-Components   -               North_America  Standard  0.0000  0.0240  -
-Components   -               Europe         Gold      0.0850  0.0320  0.2000
-Components   -               Europe         Silver    0.0650  0.0300  0.2000
-Clothing     -               North_America  Gold      0.1500  0.0200  -
-Clothing     -               North_America  Silver    0.1000  0.0180  -
-Clothing     -               North_America  Bronze    0.0700  0.0160  -
-Clothing     -               North_America  Standard  0.0200  0.0140  -
-Clothing     -               Europe         Gold      0.1600  0.0220  0.2000
-Clothing     -               Europe         Silver    0.1100  0.0200  0.2000
-Accessories  -               North_America  Gold      0.1000  0.0250  -
-Accessories  -               North_America  Silver    0.0700  0.0230  -
-Accessories  -               North_America  Bronze    0.0500  0.0210  -
-Accessories  -               North_America  Standard  0.0000  0.0190  -
-Accessories  -               Europe         Gold      0.1050  0.0270  0.2000
-Accessories  -               Pacific        Gold      0.0950  0.0260  0.1000
-"""
+PRICING_RULES = [
+    ("Bikes", "Mountain Bikes", "North America", "Gold", "0.1200", "0.0500", None),
+    ("Bikes", "Mountain Bikes", "North America", "Silver", "0.0800", "0.0450", None),
+    ("Bikes", "Mountain Bikes", "North America", "Bronze", "0.0500", "0.0400", None),
+    ("Bikes", "Mountain Bikes", "North America", "Standard", "0.0000", "0.0350", None),
+    ("Bikes", "Mountain Bikes", "Europe", "Gold", "0.1300", "0.0520", "0.2000"),
+    ("Bikes", "Mountain Bikes", "Europe", "Silver", "0.0900", "0.0470", "0.2000"),
+    ("Bikes", "Mountain Bikes", "Europe", "Bronze", "0.0600", "0.0420", "0.2000"),
+    ("Bikes", "Mountain Bikes", "Europe", "Standard", "0.0100", "0.0370", "0.2000"),
+    ("Bikes", "Mountain Bikes", "Pacific", "Gold", "0.1100", "0.0480", "0.1000"),
+    ("Bikes", "Mountain Bikes", "Pacific", "Silver", "0.0750", "0.0430", "0.1000"),
+    ("Bikes", "Road Bikes", "North America", "Gold", "0.1150", "0.0510", None),
+    ("Bikes", "Road Bikes", "North America", "Silver", "0.0780", "0.0460", None),
+    ("Bikes", "Road Bikes", "North America", "Bronze", "0.0480", "0.0410", None),
+    ("Bikes", "Road Bikes", "North America", "Standard", "0.0000", "0.0360", None),
+    ("Bikes", "Road Bikes", "Europe", "Gold", "0.1250", "0.0530", "0.2000"),
+    ("Bikes", "Road Bikes", "Europe", "Silver", "0.0850", "0.0480", "0.2000"),
+    ("Bikes", "Road Bikes", "Pacific", "Gold", "0.1050", "0.0490", "0.1000"),
+    ("Bikes", "Touring Bikes", "North America", "Gold", "0.1100", "0.0500", None),
+    ("Bikes", "Touring Bikes", "Europe", "Gold", "0.1200", "0.0520", "0.2000"),
+    ("Components", None, "North America", "Gold", "0.0800", "0.0300", None),
+    ("Components", None, "North America", "Silver", "0.0600", "0.0280", None),
+    ("Components", None, "North America", "Bronze", "0.0400", "0.0260", None),
+    ("Components", None, "North America", "Standard", "0.0000", "0.0240", None),
+    ("Components", None, "Europe", "Gold", "0.0850", "0.0320", "0.2000"),
+    ("Components", None, "Europe", "Silver", "0.0650", "0.0300", "0.2000"),
+    ("Clothing", None, "North America", "Gold", "0.1500", "0.0200", None),
+    ("Clothing", None, "North America", "Silver", "0.1000", "0.0180", None),
+    ("Clothing", None, "North America", "Bronze", "0.0700", "0.0160", None),
+    ("Clothing", None, "North America", "Standard", "0.0200", "0.0140", None),
+    ("Clothing", None, "Europe", "Gold", "0.1600", "0.0220", "0.2000"),
+    ("Clothing", None, "Europe", "Silver", "0.1100", "0.0200", "0.2000"),
+    ("Accessories", None, "North America", "Gold", "0.1000", "0.0250", None),
+    ("Accessories", None, "North America", "Silver", "0.0700", "0.0230", None),
+    ("Accessories", None, "North America", "Bronze", "0.0500", "0.0210", None),
+    ("Accessories", None, "North America", "Standard", "0.0000", "0.0190", None),
+    ("Accessories", None, "Europe", "Gold", "0.1050", "0.0270", "0.2000"),
+    ("Accessories", None, "Pacific", "Gold", "0.0950", "0.0260", "0.1000"),
+]
 
 # Least revenue for Gold, Silver, Bronze per territory group.
-TIER_THRESHOLDS = """
-North_America  50000  20000  5000
-Europe         45000  18000  4500
-Pacific        40000  15000  4000
-OTHER          50000  20000  5000
-"""
+TIER_THRESHOLDS = [
+    ("North America", "50000", "20000", "5000"),
+    ("Europe", "45000", "18000", "4500"),
+    ("Pacific", "40000", "15000", "4000"),
+    ("OTHER", "50000", "20000", "5000"),
+]
 
 # Discount rate for Gold, Silver, Bronze and Standard customers.
 # A product group that is not listed gets no discount.
-DISCOUNT_RATES = """
-Mountain_Bikes  North_America  0.1200  0.0800  0.0500  0.0000
-Mountain_Bikes  Europe         0.1300  0.0900  0.0600  0.0100
-Mountain_Bikes  Pacific        0.1100  0.0750  0.0500  0.0000
-Mountain_Bikes  OTHER          0.0000  0.0000  0.0000  0.0000
-Road_Bikes      North_America  0.1150  0.0780  0.0480  0.0000
-Road_Bikes      Europe         0.1250  0.0850  0.0600  0.0100
-Road_Bikes      Pacific        0.1050  0.0720  0.0470  0.0000
-Road_Bikes      OTHER          0.0000  0.0000  0.0000  0.0000
-Touring_Bikes   North_America  0.1100  0.0750  0.0460  0.0000
-Touring_Bikes   Europe         0.1200  0.0830  0.0560  0.0080
-Touring_Bikes   OTHER          0.1000  0.0700  0.0000  0.0000
-Components      North_America  0.0800  0.0600  0.0400  0.0000
-Components      Europe         0.0850  0.0650  0.0430  0.0050
-Components      Pacific        0.0780  0.0580  0.0380  0.0000
-Components      OTHER          0.0000  0.0000  0.0000  0.0000
-Clothing        North_America  0.1500  0.1000  0.0700  0.0200
-Clothing        Europe         0.1600  0.1100  0.0780  0.0250
-Clothing        Pacific        0.1400  0.0950  0.0660  0.0180
-Clothing        OTHER          0.1300  0.0900  0.0150  0.0150
-Accessories     North_America  0.1000  0.0700  0.0500  0.0000
-Accessories     Europe         0.1050  0.0730  0.0520  0.0000
-Accessories     Pacific        0.0950  0.0680  0.0480  0.0000
-Accessories     OTHER          0.0000  0.0000  0.0000  0.0000
-"""
+DISCOUNT_RATES = [
+    ("Mountain Bikes", "North America", "0.1200", "0.0800", "0.0500", "0.0000"),
+    ("Mountain Bikes", "Europe", "0.1300", "0.0900", "0.0600", "0.0100"),
+    ("Mountain Bikes", "Pacific", "0.1100", "0.0750", "0.0500", "0.0000"),
+    ("Mountain Bikes", "OTHER", "0.0000", "0.0000", "0.0000", "0.0000"),
+    ("Road Bikes", "North America", "0.1150", "0.0780", "0.0480", "0.0000"),
+    ("Road Bikes", "Europe", "0.1250", "0.0850", "0.0600", "0.0100"),
+    ("Road Bikes", "Pacific", "0.1050", "0.0720", "0.0470", "0.0000"),
+    ("Road Bikes", "OTHER", "0.0000", "0.0000", "0.0000", "0.0000"),
+    ("Touring Bikes", "North America", "0.1100", "0.0750", "0.0460", "0.0000"),
+    ("Touring Bikes", "Europe", "0.1200", "0.0830", "0.0560", "0.0080"),
+    ("Touring Bikes", "OTHER", "0.1000", "0.0700", "0.0000", "0.0000"),
+    ("Components", "North America", "0.0800", "0.0600", "0.0400", "0.0000"),
+    ("Components", "Europe", "0.0850", "0.0650", "0.0430", "0.0050"),
+    ("Components", "Pacific", "0.0780", "0.0580", "0.0380", "0.0000"),
+    ("Components", "OTHER", "0.0000", "0.0000", "0.0000", "0.0000"),
+    ("Clothing", "North America", "0.1500", "0.1000", "0.0700", "0.0200"),
+    ("Clothing", "Europe", "0.1600", "0.1100", "0.0780", "0.0250"),
+    ("Clothing", "Pacific", "0.1400", "0.0950", "0.0660", "0.0180"),
+    ("Clothing", "OTHER", "0.1300", "0.0900", "0.0150", "0.0150"),
+    ("Accessories", "North America", "0.1000", "0.0700", "0.0500", "0.0000"),
+    ("Accessories", "Europe", "0.1050", "0.0730", "0.0520", "0.0000"),
+    ("Accessories", "Pacific", "0.0950", "0.0680", "0.0480", "0.0000"),
+    ("Accessories", "OTHER", "0.0000", "0.0000", "0.0000", "0.0000"),
+]
 
 # Commission rate for Gold, Silver, Bronze and Standard customers.
-COMMISSION_RATES = """
-Bikes        North_America  0.0500  0.0450  0.0400  0.0350
-Bikes        Europe         0.0520  0.0470  0.0420  0.0370
-Bikes        Pacific        0.0480  0.0430  0.0380  0.0330
-Bikes        OTHER          0.0350  0.0350  0.0350  0.0350
-Components   North_America  0.0300  0.0280  0.0260  0.0240
-Components   Europe         0.0320  0.0300  0.0278  0.0255
-Components   OTHER          0.0290  0.0235  0.0235  0.0235
-Clothing     North_America  0.0200  0.0180  0.0160  0.0140
-Clothing     Europe         0.0220  0.0200  0.0175  0.0150
-Clothing     OTHER          0.0195  0.0130  0.0130  0.0130
-Accessories  North_America  0.0250  0.0230  0.0210  0.0190
-Accessories  Europe         0.0270  0.0248  0.0225  0.0200
-Accessories  OTHER          0.0240  0.0185  0.0185  0.0185
-OTHER        OTHER          0.0200  0.0200  0.0200  0.0200
-"""
+COMMISSION_RATES = [
+    ("Bikes", "North America", "0.0500", "0.0450", "0.0400", "0.0350"),
+    ("Bikes", "Europe", "0.0520", "0.0470", "0.0420", "0.0370"),
+    ("Bikes", "Pacific", "0.0480", "0.0430", "0.0380", "0.0330"),
+    ("Bikes", "OTHER", "0.0350", "0.0350", "0.0350", "0.0350"),
+    ("Components", "North America", "0.0300", "0.0280", "0.0260", "0.0240"),
+    ("Components", "Europe", "0.0320", "0.0300", "0.0278", "0.0255"),
+    ("Components", "OTHER", "0.0290", "0.0235", "0.0235", "0.0235"),
+    ("Clothing", "North America", "0.0200", "0.0180", "0.0160", "0.0140"),
+    ("Clothing", "Europe", "0.0220", "0.0200", "0.0175", "0.0150"),
+    ("Clothing", "OTHER", "0.0195", "0.0130", "0.0130", "0.0130"),
+    ("Accessories", "North America", "0.0250", "0.0230", "0.0210", "0.0190"),
+    ("Accessories", "Europe", "0.0270", "0.0248", "0.0225", "0.0200"),
+    ("Accessories", "OTHER", "0.0240", "0.0185", "0.0185", "0.0185"),
+    ("OTHER", "OTHER", "0.0200", "0.0200", "0.0200", "0.0200"),
+]
 
 # Tax override by territory group, else by country.
 TERRITORY_TAX = {"Europe": "0.2000", "Pacific": "0.1000"}
@@ -116,13 +116,6 @@ TERRITORIES = ("North America", "Europe", "Pacific", OTHER)
 BIKE_GROUPS = ("Mountain Bikes", "Road Bikes", "Touring Bikes")
 
 
-def table_rows(text: str) -> list[list[str | None]]:
-    return [
-        [None if cell == "-" else cell.replace("_", " ") for cell in line.split()]
-        for line in text.strip().splitlines()
-    ]
-
-
 def _decimal(cell: str | None) -> Decimal | None:
     return None if cell is None else Decimal(cell)
 
@@ -131,7 +124,7 @@ def pricing_rules(spark: SparkSession, effective: dt.date = RULES_FROM) -> DataF
     """The pricing rules, numbered from 1; a fixed table of 37 rows."""
     rows = [
         (i, cat, sub, group, tier, _decimal(disc), _decimal(comm), _decimal(tax), effective, None)
-        for i, (cat, sub, group, tier, disc, comm, tax) in enumerate(table_rows(PRICING_RULES), start=1)
+        for i, (cat, sub, group, tier, disc, comm, tax) in enumerate(PRICING_RULES, start=1)
     ]
     schema = (
         "rule_id int, category_name string, subcategory_name string, territory_group string, "
@@ -145,14 +138,14 @@ def tier_thresholds(spark: SparkSession, scale: int = 1) -> DataFrame:
     """Least revenue per tier and territory group, times ``scale``; 4 rows."""
     rows = [
         (territory, *[Decimal(bound) * scale for bound in bounds])
-        for territory, *bounds in table_rows(TIER_THRESHOLDS)
+        for territory, *bounds in TIER_THRESHOLDS
     ]
     schema = "territory_key string, gold decimal(19,4), silver decimal(19,4), bronze decimal(19,4)"
     return spark.createDataFrame(rows, schema)
 
 
-def _by_key(text: str) -> dict[tuple[str, str], list[str]]:
-    return {(group, territory): rates for group, territory, *rates in table_rows(text)}
+def _by_key(rows: list[tuple]) -> dict[tuple[str, str], list[str]]:
+    return {(group, territory): rates for group, territory, *rates in rows}
 
 
 def rate_table(spark: SparkSession) -> DataFrame:
