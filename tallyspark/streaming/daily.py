@@ -41,16 +41,24 @@ def summarise(events: DataFrame, delay: str = DELAY) -> DataFrame:
     )
 
 
-def run_once(summary: DataFrame, spark: SparkSession, label: str = "daily") -> DataFrame:
-    """Process what is there, append closed days to a table, and read it."""
-    out, progress = fresh_path(spark, label), fresh_path(spark, f"{label}-progress")
+def run_once(summary: DataFrame, spark: SparkSession, label: str = "daily", folder: str | None = None) -> DataFrame:
+    """Process what is there, append closed days to a table, and read it.
+
+    ``folder`` holds the days, one table per batch, and the progress. A run over
+    the same folder goes on where the last one stopped; a batch that is run
+    again replaces its own days. Without it each run has its own folder.
+    """
+    folder = folder or fresh_path(spark, label)
+
+    def append(days: DataFrame, batch: int) -> None:
+        days.write.mode("overwrite").parquet(f"{folder}/days/batch={batch}")
+
     stream = (
-        summary.writeStream.format("parquet")
+        summary.writeStream.foreachBatch(append)
         .outputMode("append")
-        .option("path", out)
-        .option("checkpointLocation", progress)
+        .option("checkpointLocation", f"{folder}/progress")
         .trigger(availableNow=True)
         .start()
     )
     stream.awaitTermination()
-    return spark.read.schema(summary.schema).parquet(out)
+    return spark.read.schema(summary.schema).parquet(f"{folder}/days").select(*summary.columns)

@@ -1,9 +1,11 @@
 """Sources, sinks, logs, streams."""
 
 import datetime as dt
+import subprocess
+import sys
 
 import pytest
-from conftest import DATA
+from conftest import DATA, ROOT
 from pyspark.sql import functions as F
 
 from tallyspark.catalog.procedures import _FIELDS, _IMAGE_ORDER, _images
@@ -66,12 +68,33 @@ def test_materialise_cuts_lineage_in_the_shared_folder(spark):
     assert shared_dir(spark) == shared_dir(spark)
 
 
-def test_shared_folder_of_the_session_is_used(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path)) if spark.conf.isModifiable(
-        "spark.checkpoint.dir"
-    ) else pytest.skip("fixed at start")
-    assert shared_dir(spark) == str(tmp_path)
-    spark.conf.unset("spark.checkpoint.dir")
+def test_shared_folder_of_the_session_is_used(tmp_path):
+    """The folder is fixed when a session starts, so this takes a session of its own."""
+    script = f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+from tallyspark.session import build_session, materialise, shared_dir
+spark = build_session("shared", "local[1]", **{{"spark.checkpoint.dir": {str(tmp_path)!r}, "spark.ui.enabled": "false"}})
+assert shared_dir(spark) == {str(tmp_path)!r}
+assert materialise(spark.range(3), "three").count() == 3
+assert materialise(spark.range(4), "four", "zstd").count() == 4
+spark.stop()
+"""
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir() if p.is_dir()} >= {"three", "four"}
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master, getCheckpointDir = "spark://host", staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = spark.conf
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
 
 
 def _batches(spark, tmp_path, parts):
