@@ -95,21 +95,20 @@ def _(t):
 @query(
     "agg_conditional_band",
     """
-    WITH s AS (SELECT l_suppkey AS seller, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue
-               FROM lineitem GROUP BY 1)
-    SELECT seller, CASE WHEN s_acctbal <= 0 THEN 'No Quota'
-        WHEN revenue / (s_acctbal * 5000) >= 1.2 THEN 'Overachiever'
-        WHEN revenue / (s_acctbal * 5000) >= 1 THEN 'On Target'
-        WHEN revenue / (s_acctbal * 5000) >= 0.8 THEN 'Near Target'
-        WHEN revenue / (s_acctbal * 5000) >= 0.6 THEN 'Below Target' ELSE 'At Risk' END AS band
-    FROM s JOIN supplier ON s_suppkey = seller
+    WITH s AS (SELECT l_suppkey AS seller, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS revenue FROM lineitem GROUP BY 1),
+    q AS (SELECT s_suppkey, CAST(s_acctbal AS DECIMAL(19,4)) * 5000 AS quota FROM supplier)
+    SELECT seller, CASE WHEN quota <= 0 THEN 'No Quota'
+        WHEN revenue >= 1.20 * quota THEN 'Overachiever' WHEN revenue >= quota THEN 'On Target'
+        WHEN revenue >= 0.80 * quota THEN 'Near Target' WHEN revenue >= 0.60 * quota THEN 'Below Target'
+        ELSE 'At Risk' END AS band
+    FROM s JOIN q ON s_suppkey = seller
     """,
 )
 def _(t):
     revenue = t.lineitem.groupBy(F.col("l_suppkey").alias("seller")).agg(
-        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("revenue")
+        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("revenue")
     )
-    quota = F.when(F.col("s_acctbal") > 0, F.col("s_acctbal") * 5000)
+    quota = F.when(F.col("s_acctbal") > 0, as_money(F.col("s_acctbal")) * 5000)
     return revenue.join(t.supplier, F.col("seller") == F.col("s_suppkey")).select(
         "seller", quota_band(F.col("revenue"), quota).alias("band")
     )

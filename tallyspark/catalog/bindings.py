@@ -344,10 +344,10 @@ COMMISSION_SQL = f"""
 """
 
 
-def _ladder(table: str, value_column: str, default: str) -> str:
+def _ladder(table: list[tuple], value_column: str, default: str) -> str:
     """A CASE over (group, territory, tier), from the same fixed values."""
     whens = []
-    for group, territory, *rates in seeds.table_rows(table):
+    for group, territory, *rates in table:
         test = f"{value_column} = '{group}'"
         if territory != "OTHER":
             test += f" AND territory_group = '{territory}'"
@@ -391,10 +391,10 @@ def commission_sql() -> str:
         FROM finals WHERE seller_id IS NOT NULL GROUP BY 1, 2, 3, 4
     ), seller_ranked AS (
         SELECT *, CASE WHEN sales_quota = 0 THEN 'No Quota'
-                       WHEN CAST(adjusted AS DOUBLE) / CAST(sales_quota AS DOUBLE) >= 1.2 THEN 'Overachiever'
-                       WHEN CAST(adjusted AS DOUBLE) / CAST(sales_quota AS DOUBLE) >= 1 THEN 'On Target'
-                       WHEN CAST(adjusted AS DOUBLE) / CAST(sales_quota AS DOUBLE) >= 0.8 THEN 'Near Target'
-                       WHEN CAST(adjusted AS DOUBLE) / CAST(sales_quota AS DOUBLE) >= 0.6 THEN 'Below Target' ELSE 'At Risk' END AS band,
+                       WHEN adjusted >= 1.2 * sales_quota THEN 'Overachiever'
+                       WHEN adjusted >= 1 * sales_quota THEN 'On Target'
+                       WHEN adjusted >= 0.8 * sales_quota THEN 'Near Target'
+                       WHEN adjusted >= 0.6 * sales_quota THEN 'Below Target' ELSE 'At Risk' END AS band,
                ntile(4) OVER (ORDER BY adjusted DESC, seller_id, territory_name) AS quartile
         FROM seller
     ), rfm_sums AS (

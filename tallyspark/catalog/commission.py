@@ -10,6 +10,7 @@ from tallyspark.catalog import bindings as b
 from tallyspark.catalog.registry import query
 from tallyspark.operators import joins
 from tallyspark.plans import commission as plan
+from tallyspark.session import materialise
 from tallyspark.sources import seeds
 
 P = b.COMMISSION_PARAMS
@@ -38,7 +39,8 @@ def _lines(t):
 
 
 def _priced(t):
-    lines = _lines(t)
+    # read twice: for the customers' tiers and for the lines themselves
+    lines = materialise(_lines(t), "lines")
     return plan.price_lines(lines, plan.customer_tiers(lines, P.threshold_scale))
 
 
@@ -249,7 +251,7 @@ def rules_values() -> str:
 
     rows = [
         f"({i}, {cell(cat, 1)}, {cell(sub, 1)}, {cell(group, 1)}, {cell(tier, 1)}, {disc}, {comm}, {cell(tax, 0)})"
-        for i, (cat, sub, group, tier, disc, comm, tax) in enumerate(seeds.table_rows(seeds.PRICING_RULES), 1)
+        for i, (cat, sub, group, tier, disc, comm, tax) in enumerate(seeds.PRICING_RULES, 1)
     ]
     return (
         f"(SELECT rule_id::BIGINT AS rule_id, cat, sub, grp, tier, CAST(disc AS DECIMAL(5,4)) AS disc, CAST(comm AS DECIMAL(5,4)) AS comm, "

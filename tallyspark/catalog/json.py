@@ -88,18 +88,3 @@ def _(t):
     wrapped = F.concat(F.lit('{"a": '), "props", F.lit("}"))
     subtree = F.get_json_object(wrapped, "$.a")
     return t.events.select("event_id", F.get_json_object(subtree, "$.k").alias("k"))
-
-
-@query(
-    "json_roundtrip_check",
-    "SELECT count(*) AS customers, 0::BIGINT AS different FROM customer",
-)
-def _(t):
-    schema = "id bigint, segment string, balance decimal(19,4)"
-    read = t.customer.select("c_custkey", "c_mktsegment", "c_acctbal", F.from_json(_object(), schema).alias("o"))
-    same = (
-        c("o.id").eqNullSafe(c("c_custkey"))
-        & c("o.segment").eqNullSafe(F.nullif(c("c_mktsegment"), F.lit("BUILDING")))
-        & c("o.balance").eqNullSafe(as_money(c("c_acctbal")))
-    )
-    return read.agg(F.count("*").alias("customers"), F.count_if(~same).alias("different"))

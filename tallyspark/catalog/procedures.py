@@ -6,16 +6,17 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tallyspark.catalog import bindings as b
 from tallyspark.catalog.registry import query
 from tallyspark.functions import rules
 from tallyspark.functions.scalars import as_money, safe_ratio
 from tallyspark.operators import changes, graph
-from tallyspark.plans import corpus, people
+from tallyspark.plans import commission, corpus, facts, people, runs, sales
 from tallyspark.runlog import RunLog
 from tallyspark.session import fresh_path
 from tallyspark.sources import files
-from tallyspark.streaming import audit as audit_stream
-from tallyspark.streaming import daily
+from tallyspark.sources.keyed import KeyedTable
+from tallyspark.streaming import daily, keyed
 
 c, lit = F.col, F.lit
 
@@ -115,7 +116,7 @@ def _(t):
     published = 0
     try:
         with RunLog(t.spark, "brands", log_path):
-            files.publish(t.part.select(c("p_brand").cast("int").alias("brand")), target)
+            files.commit(t.part.select(c("p_brand").cast("int").alias("brand")), target)
             published = 1
     except Exception as error:
         if "CAST_INVALID_INPUT" not in str(error):
@@ -125,6 +126,58 @@ def _(t):
     )
 
 
+@query(
+    "run_log_workloads",
+    f"""
+    WITH steps AS (
+        SELECT 'sales' AS proc_name, 'staged' AS step_name, n FROM ({b.SALES_SQL} SELECT count(*) AS n FROM sales)
+        UNION ALL SELECT 'sales', 'days', n FROM ({b.SALES_SQL} SELECT count(DISTINCT order_date) AS n FROM sales)
+        UNION ALL SELECT 'commission', 'lines', n FROM ({b.COMMISSION_SQL} SELECT count(*) AS n FROM lines)
+        UNION ALL SELECT 'commission', 'tiers', n FROM ({b.COMMISSION_SQL} SELECT count(*) AS n FROM tiers)
+        UNION ALL SELECT 'facts', 'facts', n FROM ({b.FACTS_SQL} SELECT count(*) AS n FROM facts)
+        UNION ALL SELECT 'facts', 'regions', n FROM ({b.FACTS_SQL} SELECT count(*) AS n FROM bench))
+    SELECT proc_name, step_name, 'OK' AS step_status, 'Rows: ' || n AS message FROM steps
+    UNION ALL SELECT DISTINCT proc_name, 'START', 'START', NULL FROM steps
+    UNION ALL SELECT DISTINCT proc_name, 'END', 'SUCCESS', 'Completed' FROM steps
+    """,
+)
+def _(t):
+    log, P, C = fresh_path(t.spark, "runlog"), b.SALES_PARAMS, b.COMMISSION_PARAMS
+    frames = b.sales_orders(t), b.sales_order_lines(t), b.sales_products(t)
+    runs.logged_run(
+        t.spark,
+        "sales",
+        [
+            ("staged", lambda made: sales.sales_lines(*frames, P)),
+            ("days", lambda made: sales.daily_summary(made["staged"])),
+        ],
+        log,
+    )
+    sellers = b.seller_persons(t), b.seller_employees(t), b.seller_quotas(t)
+    base = commission.base_orders(b.commission_orders(t), b.commission_territories(t), *sellers, C)
+    runs.logged_run(
+        t.spark,
+        "commission",
+        [
+            ("lines", lambda made: commission.order_lines(b.commission_lines(t), base, b.commission_products(t))),
+            ("tiers", lambda made: commission.customer_tiers(made["lines"], C.threshold_scale)),
+        ],
+        log,
+    )
+    orders = facts.fact_orders(b.fact_header(t), b.fact_addresses(t), b.FACTS_PARAMS)
+    categories = facts.order_categories(b.fact_order_lines(t), orders, b.fact_products(t))
+    runs.logged_run(
+        t.spark,
+        "facts",
+        [
+            ("facts", lambda made: facts.customer_facts(orders, categories, b.fact_customers(t), b.FACTS_PARAMS)),
+            ("regions", lambda made: facts.region_benchmark(facts.fact_scores(made["facts"]))),
+        ],
+        log,
+    )
+    return t.spark.read.parquet(log).select("proc_name", "step_name", "step_status", "message")
+
+
 # --- set-based forms of loops, recursion, changes -------------------------------------------
 
 
@@ -189,7 +242,24 @@ def _(t):
     target = t.customer.select(c("c_custkey").alias("id"), c("c_mktsegment").alias("segment"))
     promoted = t.customer.where("c_acctbal > 9000").select(c("c_custkey").alias("id"), lit("promoted").alias("segment"))
     added = t.supplier.select((c("s_suppkey") + 1000000000).alias("id"), lit("supplier").alias("segment"))
-    return changes.merge_upsert(target, promoted.unionByName(added), ["id"])
+    table = KeyedTable(t.spark, fresh_path(t.spark, "customers"), ["id"])
+    table.create(target)
+    table.merge(promoted.unionByName(added))
+    return table.read()
+
+
+@query(
+    "merge_upsert_counts",
+    """
+    SELECT (SELECT count(*) FROM supplier) AS inserted, (SELECT count(*) FROM customer WHERE c_acctbal > 9000) AS updated
+    """,
+)
+def _(t):
+    promoted = t.customer.where("c_acctbal > 9000").select(c("c_custkey").alias("id"), lit("promoted").alias("segment"))
+    added = t.supplier.select((c("s_suppkey") + 1000000000).alias("id"), lit("supplier").alias("segment"))
+    table = KeyedTable(t.spark, fresh_path(t.spark, "customers"), ["id"])
+    table.create(t.customer.select(c("c_custkey").alias("id"), c("c_mktsegment").alias("segment")))
+    return table.merge(promoted.unionByName(added))
 
 
 @query(
@@ -197,8 +267,10 @@ def _(t):
     "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'BLOCKED' ELSE c_mktsegment END AS c_mktsegment FROM customer",
 )
 def _(t):
-    updated = changes.update_where(t.customer, c("c_acctbal") < 0, c_mktsegment=lit("BLOCKED"))
-    return updated.select("c_custkey", "c_mktsegment")
+    table = KeyedTable(t.spark, fresh_path(t.spark, "customers"), ["c_custkey"])
+    table.create(t.customer.select("c_custkey", "c_acctbal", "c_mktsegment"))
+    table.update(c("c_acctbal") < 0, c_mktsegment=lit("BLOCKED"))
+    return table.read().select("c_custkey", "c_mktsegment")
 
 
 # status and amount compare with <>, so NULL is no change there; the day has a stand-in
@@ -235,8 +307,9 @@ _AUDIT_SQL = """
 
 @query("trigger_change_audit", _AUDIT_SQL)
 def _(t):
+    day = c("ts").cast("date")
     return changes.audit_feed(
-        _images(t.events), "user_id", _IMAGE_ORDER, _FIELDS, ["event_id", "user_id"]
+        _images(t.events), "user_id", _IMAGE_ORDER, _FIELDS, ["event_id", "user_id"], day
     )
 
 
@@ -285,10 +358,10 @@ def _(t):
 
 @query("st_change_audit", _AUDIT_SQL)
 def _(t):
-    auditor = audit_stream.AuditStream(
-        t.spark, "user_id", _IMAGE_ORDER, _FIELDS, ["event_id", "user_id"]
-    )
-    return auditor.run_once(_images(_stream(t)))
+    # settled rows, and those of the images that the watermark has not passed at the stream's end
+    auditor = keyed.KeyedAudit(t.spark, "user_id", _IMAGE_ORDER, _FIELDS, ["event_id", "user_id"])
+    auditor.run_once(_images(_stream(t)))
+    return auditor.settled().unionByName(auditor.waiting())
 
 
 # --- people ---------------------------------------------------------------------------------------

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.catalog.registry import query
 from tallyspark.functions.scalars import (
+    MONEY,
     all_of,
     as_money,
     equals_ignoring_case,
@@ -14,7 +19,7 @@ from tallyspark.functions.scalars import (
     optional_equals,
 )
 from tallyspark.operators import joins, topn
-from tallyspark.operators.ranking import global_row_number, with_neighbours
+from tallyspark.operators.ranking import global_row_number, neighbours_by_bucket
 
 # --- projection and filters -----------------------------------------------------
 
@@ -375,6 +380,36 @@ def _(t):
     ).select("o_orderkey")
 
 
+@query(
+    "join_not_in",
+    """
+    SELECT 'known values' AS against, count(*) AS customers FROM customer
+        WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)
+    UNION ALL SELECT 'a null value', count(*) FROM customer
+        WHERE c_nationkey NOT IN (SELECT nullif(s_nationkey, 3) FROM supplier)
+    UNION ALL SELECT 'null rows', count(*) FROM customer
+        WHERE nullif(c_nationkey, 3) NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey < 5)
+    UNION ALL SELECT 'no values', count(*) FROM customer
+        WHERE nullif(c_nationkey, 3) NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey < 0)
+    """,
+)
+def _(t):
+    nation, seller = F.col("c_nationkey"), F.col("s_nationkey")
+    cases = [
+        ("known values", nation, t.supplier.where("s_acctbal > 9000").select(seller.alias("x"))),
+        ("a null value", nation, t.supplier.select(F.nullif(seller, F.lit(3)).alias("x"))),
+        ("null rows", F.nullif(nation, F.lit(3)), t.supplier.where(seller < 5).select(seller.alias("x"))),
+        ("no values", F.nullif(nation, F.lit(3)), t.supplier.where(seller < 0).select(seller.alias("x"))),
+    ]
+    counts = [
+        joins.join_not_in(t.customer.select(value.alias("k")), "k", excluded, "x")
+        .agg(F.count("*").alias("customers"))
+        .select(F.lit(name).alias("against"), "customers")
+        for name, value, excluded in cases
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query(
     "join_on_filter",
     """
@@ -440,13 +475,13 @@ def _(t):
     """,
 )
 def _(t):
-    images = with_neighbours(
+    images = neighbours_by_bucket(
         t.events.select("event_id", "ts", "user_id", "event_type"),
         ["user_id"],
-        [("ts", "asc"), ("event_id", "asc")],
+        F.col("ts").cast("date"),
+        ["ts", "event_id"],
         "event_type",
-        "old_type",
-        None,
+        lag="old_type",
     )
     return images.where(F.col("event_type") != F.col("old_type")).select(
         "event_id", "old_type", F.col("event_type").alias("new_type")
@@ -456,17 +491,23 @@ def _(t):
 @query(
     "apply_cross",
     """
-    SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events
-    WHERE json_extract_string(props, '$.k') IS NOT NULL
+    SELECT o_orderkey, label, CAST(amount AS DOUBLE) AS amount FROM (
+        SELECT o_orderkey, 'total' AS label, CAST(o_totalprice AS DECIMAL(19,4)) AS amount FROM orders
+        UNION ALL SELECT o_orderkey, 'tax', CAST(CAST(o_totalprice AS DECIMAL(19,4)) * 0.08 AS DECIMAL(19,4)) FROM orders
+        UNION ALL SELECT o_orderkey, 'freight', CAST(CAST(o_totalprice AS DECIMAL(19,4)) * 0.02 AS DECIMAL(19,4)) FROM orders)
+    WHERE amount > 5000
     """,
 )
 def _(t):
-    parsed = F.from_json("props", "k bigint")
-    return (
-        t.events.select("event_id", F.explode(F.array(parsed)).alias("p"))
-        .where(F.col("p.k").isNotNull())
-        .select("event_id", "p.k")
-    )
+    total = as_money(F.col("o_totalprice").outer())
+
+    def part(label, factor):
+        amount = (total * F.lit(Decimal(factor))).cast(MONEY)
+        return F.struct(F.lit(label).alias("label"), amount.alias("amount"))
+
+    # a table of three rows for each order, of which some pass
+    parts = t.spark.tvf.inline(F.array(part("total", "1.00"), part("tax", "0.08"), part("freight", "0.02")))
+    return t.orders.lateralJoin(parts).where("amount > 5000").select("o_orderkey", "label", "amount")
 
 
 @query(

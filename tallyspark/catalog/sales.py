@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.catalog import bindings as b
@@ -23,8 +26,12 @@ def _profile(t):
 
 
 def _revenue(t, by_customer_tier: bool = True):
-    tiers = sales.customer_tiers(_profile(t)) if by_customer_tier else None
-    return sales.revenue_calc(_lines(t), P, tiers)
+    if not by_customer_tier:
+        return sales.revenue_calc(_lines(t), P)
+    # read twice: for the customers' tiers and for their lines
+    lines = materialise(_lines(t), "sales")
+    tiers = sales.customer_tiers(sales.customer_profile(b.sales_customers(t), lines, P))
+    return sales.revenue_calc(lines, P, tiers)
 
 
 @query(
@@ -228,7 +235,8 @@ _SUMMARY_SQL = (
     SELECT '{P.start}' AS report_start_date, '{P.end}' AS report_end_date,
            CAST(DATE '{P.end}' - DATE '{P.start}' AS BIGINT) AS report_days,
            count(DISTINCT customer_id) AS total_customers, count(DISTINCT order_id) AS total_orders,
-           CAST(sum(line_total) AS DOUBLE) AS gross_revenue, CAST(sum(net) AS DOUBLE) AS net_revenue,
+           CAST(sum(line_total) AS DOUBLE) AS gross_revenue, CAST(sum(line_total) AS DOUBLE) AS gross_revenue_calc,
+           CAST(sum(net) AS DOUBLE) AS net_revenue,
            CAST(sum(profit) AS DOUBLE) AS total_profit, CAST(sum(line_total) AS DOUBLE) / count(*) AS avg_order_value,
            count(DISTINCT category_name) AS categories_active
     FROM revenue
@@ -281,17 +289,43 @@ def _(t):
     return _report(t, "Categories")["categories"]
 
 
-@query("branch_by_param", "SELECT section FROM (VALUES ('categories'), ('summary'), ('top_customers')) v(section) WHERE (SELECT count(*) FROM orders) > 0")
+def _section_rows(t, kind: str):
+    """Rows of the sections that one kind of report has: section, name, orders, customers."""
+    columns = {
+        "categories": [F.col("category_name"), F.col("orders"), F.col("unique_customers")],
+        "summary": [F.lit("all"), F.col("total_orders"), F.col("total_customers")],
+        "top_customers": [F.col("customer_id").cast("string"), F.col("total_orders"), F.lit(1)],
+    }
+    rows = []
+    for section, df in sorted(_report(t, kind).items()):
+        name, orders, customers = columns[section]
+        rows.append(
+            df.select(
+                F.lit(kind).alias("kind"),
+                F.lit(section).alias("section"),
+                name.alias("name"),
+                orders.cast("bigint").alias("orders"),
+                customers.cast("bigint").alias("customers"),
+            )
+        )
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query(
+    "branch_by_param",
+    b.revenue_sql(True)
+    + """, sections AS (
+        SELECT 'categories' AS section, category_name AS name, count(DISTINCT order_id) AS orders,
+               count(DISTINCT customer_id) AS customers FROM revenue GROUP BY category_name
+        UNION ALL SELECT 'summary', 'all', count(DISTINCT order_id), count(DISTINCT customer_id) FROM revenue
+        UNION ALL SELECT 'top_customers', CAST(customer_id AS VARCHAR), total_orders, 1
+            FROM (SELECT *, row_number() OVER (ORDER BY spend DESC, customer_id) AS n FROM profile) WHERE n <= 20)
+    SELECT 'Full' AS kind, * FROM sections
+    UNION ALL SELECT 'Summary', * FROM sections WHERE section = 'summary'
+    """,
+)
 def _(t):
-    # every section of the full report, reduced to whether it has rows
-    sections = _report(t, "Full")
-    named = [
-        df.limit(1).select(F.lit(name).alias("section")) for name, df in sorted(sections.items())
-    ]
-    out = named[0]
-    for df in named[1:]:
-        out = out.unionByName(df)
-    return out
+    return _section_rows(t, "Full").unionByName(_section_rows(t, "Summary"))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tallyspark.catalog.registry import query
@@ -228,6 +230,20 @@ def _(t):
     return t.documents.select("doc_id", F.translate("text", _ACCENTED, _PLAIN).alias("plain"))
 
 
+@query(
+    "str_accent_insensitive",
+    """
+    SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents)
+    WHERE strip_accents(word) IN ('fur', 'uber', 'le', 'e', 'eau', 'cion') GROUP BY doc_id
+    """,
+)
+def _(t):
+    # the collation compares letters without their accents; case still counts
+    words = t.documents.select("doc_id", F.explode(F.split("text", " ")).alias("word"))
+    plain = F.collate("word", "UNICODE_AI")
+    return words.where(plain.isin("fur", "uber", "le", "e", "eau", "cion")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
 _FOUND = r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+[.][A-Za-z0-9_]+"
 
 
@@ -378,11 +394,17 @@ def _(t):
     return t.orders.select("o_orderkey", S.is_date(text).alias("ok"))
 
 
-@query("dt_now")
+@query(
+    "dt_now",
+    """
+    SELECT o_orderkey, datediff('day', CAST(o_orderdate AS DATE), DATE '2001-01-01') AS age_days,
+           CAST(CAST(o_orderdate AS DATE) < DATE '2001-01-01' AS BIGINT) AS in_the_past FROM orders
+    """,
+)
 def _(t):
-    # a clock cannot be compared: age of each order against the time of the run
-    now = F.current_timestamp()
-    return t.orders.select("o_orderkey", (F.datediff(now, "o_orderdate") > 0).alias("in_the_past"))
+    # dates that default to the clock take an ``as_of``
+    age = S.age_days(c("o_orderdate"), dt.date(2001, 1, 1))
+    return t.orders.select("o_orderkey", age.alias("age_days"), (age > 0).alias("in_the_past"))
 
 
 @query(

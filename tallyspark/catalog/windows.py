@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.catalog.registry import query
 from tallyspark.functions.scalars import as_money, safe_ratio
 from tallyspark.operators import ranking
+from tallyspark.operators.cuts import with_tiles
 from tallyspark.operators.joins import join_dimension
 
 _PRICES = "SELECT p_partkey, p_brand, p_retailprice FROM part"
@@ -64,7 +65,7 @@ _rank_query("cume_dist", "ASC")
 def _(t):
     order = [("o_totalprice", "desc"), ("o_orderkey", "asc")]
     rows = t.orders.select("o_orderkey", "o_totalprice")
-    return ranking.global_ntile(rows, order, 4, "quartile").drop("o_totalprice")
+    return with_tiles(rows, {"quartile": (order, 4)}).drop("o_totalprice")
 
 
 @query(

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyspark.functions.scalars import MONEY, safe_ratio
+from tallyspark.functions.scalars import MONEY
 
-# First band whose lower bound is reached.
+# First band whose lower bound, a share of the quota, is reached.
 QUOTA_BANDS = [
-    ("Overachiever", 1.20),
-    ("On Target", 1.00),
-    ("Near Target", 0.80),
-    ("Below Target", 0.60),
+    ("Overachiever", "1.20"),
+    ("On Target", "1.00"),
+    ("Near Target", "0.80"),
+    ("Below Target", "0.60"),
 ]
 
 # Tier, least spend, least orders, least account age in days.
@@ -74,10 +74,14 @@ def lookup(key: Column, labels: dict, default) -> Column:
 
 
 def quota_band(revenue: Column, quota: Column) -> Column:
-    has_quota = F.coalesce(quota.cast("double"), F.lit(0.0)) != 0
-    return F.when(
-        has_quota, first_reached(safe_ratio(revenue, quota), QUOTA_BANDS, "At Risk")
-    ).otherwise("No Quota")
+    """Band of the attained share, decided in decimals: revenue against the bound times the quota."""
+    wanted = quota.cast("decimal(24,6)")
+    label = F.lit("At Risk")
+    for name, share in reversed(QUOTA_BANDS):
+        bound = wanted * F.lit(share).cast("decimal(3,2)")
+        reached = F.when(wanted > 0, revenue >= bound).otherwise(revenue <= bound)
+        label = F.when(reached, name).otherwise(label)
+    return F.when(F.coalesce(wanted, F.lit(0)) != 0, label).otherwise("No Quota")
 
 
 def customer_tier(spend: Column, orders: Column, age_days: Column, scale: int = 1) -> Column:

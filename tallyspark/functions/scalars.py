@@ -127,3 +127,8 @@ def end_of_month(column: Column, offset: int = 0) -> Column:
 
 def is_date(column: Column) -> Column:
     return F.try_to_date(column).isNotNull()
+
+
+def age_days(day: Column, as_of=None) -> Column:
+    """Days from ``day`` to ``as_of``, which is the clock's day by default."""
+    return F.datediff(F.current_date() if as_of is None else F.lit(as_of), day)

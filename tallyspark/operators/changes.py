@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.operators.ranking import Order, with_neighbours
+from tallyspark.operators.ranking import Order, neighbours_by_bucket, with_neighbours
 
 
 def _differs(old: Column, new: Column, missing: str | None) -> Column:
@@ -17,12 +17,11 @@ def _differs(old: Column, new: Column, missing: str | None) -> Column:
     return F.coalesce(new, F.lit(missing)) != F.coalesce(old, F.lit(missing))
 
 
-def changed_fields(images: DataFrame, fields: dict[str, str | None], keep: Sequence[str]) -> DataFrame:
-    """One row per changed field of rows holding ``old`` and ``new`` image structs.
+def change_entries(fields: dict[str, str | None]) -> Column:
+    """An array of one entry per field, from ``old`` and ``new`` image structs; ``changed`` is never NULL.
 
     ``fields`` maps a field to the text that stands for NULL in the
-    comparison, or to None for plain ``<>``. Rows are copied once per field,
-    a number fixed by the caller.
+    comparison, or to None for plain ``<>``.
     """
     entries = []
     for name, missing in fields.items():
@@ -35,7 +34,15 @@ def changed_fields(images: DataFrame, fields: dict[str, str | None], keep: Seque
                 F.coalesce(_differs(old, new, missing), F.lit(False)).alias("changed"),
             )
         )
-    changed = F.filter(F.array(*entries), lambda entry: entry["changed"])
+    return F.array(*entries)
+
+
+def changed_fields(images: DataFrame, fields: dict[str, str | None], keep: Sequence[str]) -> DataFrame:
+    """One row per changed field (see ``change_entries``) of rows holding ``old`` and ``new`` image structs.
+
+    Rows are copied once per field, a number fixed by the caller.
+    """
+    changed = F.filter(change_entries(fields), lambda entry: entry["changed"])
     return images.select(*keep, F.explode(changed).alias("c")).select(
         *keep, "c.field_changed", "c.old_value", "c.new_value"
     )
@@ -51,12 +58,24 @@ def audit_update(
 
 
 def audit_feed(
-    feed: DataFrame, key: str, order: Order, fields: dict[str, str | None], keep: Sequence[str]
+    feed: DataFrame,
+    key: str,
+    order: Order,
+    fields: dict[str, str | None],
+    keep: Sequence[str],
+    bucket: Column | None = None,
 ) -> DataFrame:
-    """Changes along a feed of row images: each image against the key's previous one."""
+    """Changes along a feed of row images: each image against the key's previous one.
+
+    With ``bucket`` (see ``neighbours_by_bucket``; the order must then be
+    ascending) images are paired a bucket at a time and nothing is written.
+    """
     names = list(dict.fromkeys([key, *[name for name, _ in order], *keep]))
     images = feed.select(*names, F.struct(*fields).alias("new"))
-    paired = with_neighbours(images, [key], order, "new", "old", None)
+    if bucket is not None:
+        paired = neighbours_by_bucket(images, [key], bucket, [name for name, _ in order], "new", lag="old")
+    else:
+        paired = with_neighbours(images, [key], order, "new", "old", None)
     return changed_fields(paired.where(F.col("old").isNotNull()), fields, keep)
 
 

@@ -207,21 +207,93 @@ def with_ranks(df: DataFrame, keys: Sequence[str], order: Order, names: dict[str
 def with_neighbours(
     df: DataFrame, keys: Sequence[str], order: Order, value: str, lag: str | None, lead: str | None
 ) -> DataFrame:
-    """LAG and LEAD (one row) of ``value`` per key, by joining on the row number."""
-    numbered = global_row_number(df, [*ascending(keys), *order], "__g")
-    out = numbered
-    for name, step in ((lag, 1), (lead, -1)):
-        if name is None:
-            continue
-        other = numbered.select(
-            (F.col("__g") + step).alias("__at"),
-            *[F.col(key).alias(f"__{key}") for key in keys],
-            F.col(value).alias(name),
-        )
-        out = out.join(
-            other, (F.col("__g") == F.col("__at")) & same_keys(keys), "left"
-        ).drop("__at", *[f"__{key}" for key in keys])
-    return out.drop("__g")
+    """LAG and LEAD (one row) of ``value`` per key, within sorted ranges.
+
+    Rows are sorted by range and written once; a window per range finds the
+    neighbours inside it, and the border rows, one at each end of a range, are
+    carried over to the next. A busy key spans many ranges.
+    """
+    columns = sort_columns([*ascending(keys), *order])
+    placed = materialise(
+        df.repartitionByRange(*columns)
+        .sortWithinPartitions(*columns)
+        .withColumn(_POS, F.monotonically_increasing_id())
+        .withColumn(_PART, F.shiftright(F.col(_POS), _ROW_BITS))
+    )
+    me = F.struct(*[F.col(key).alias(f"k{i}") for i, key in enumerate(keys)], F.col(value).alias("value"))
+    ends = placed.groupBy(_PART).agg(
+        F.min_by(me, _POS).alias("__first"), F.max_by(me, _POS).alias("__last")
+    )
+    by_part = Window.orderBy(_PART)  # one row per range
+    borders = ends.select(
+        F.col(_PART).alias("__at"),
+        F.lag("__last").over(by_part).alias("__before"),
+        F.lead("__first").over(by_part).alias("__after"),
+    )
+    within = Window.partitionBy(_PART).orderBy(_POS)
+    found = {}
+    for name, inside, border in (
+        (lag, F.lag(me), "__before"),
+        (lead, F.lead(me), "__after"),
+    ):
+        if name is not None:
+            found[name] = F.coalesce(inside.over(within), F.col(border))
+    beside = placed.join(F.broadcast(borders), F.col(_PART) == F.col("__at")).select(
+        *df.columns, *[other.alias(f"__{name}") for name, other in found.items()]
+    )
+    out = []
+    for name in found:
+        same = F.col(f"__{name}").isNotNull()
+        for i, key in enumerate(keys):
+            same = same & F.col(f"__{name}.k{i}").eqNullSafe(F.col(key))
+        out.append(F.when(same, F.col(f"__{name}.value")).alias(name))
+    return beside.select(*df.columns, *out)
+
+
+def neighbours_by_bucket(
+    df: DataFrame,
+    keys: Sequence[str],
+    bucket: Column,
+    order: Sequence[str],
+    value: str,
+    lag: str | None = None,
+    lead: str | None = None,
+) -> DataFrame:
+    """LAG and LEAD (one row) of ``value`` per key, a bucket of the order at a time.
+
+    ``order`` is ascending, and ``bucket`` (the day of a time, say) never falls
+    along it. The border rows of a key's buckets, found by an aggregate with
+    one row per (keys, bucket), are put in front of and behind each bucket's
+    rows, so one window per (keys, bucket) serves: one shuffle of the rows, and
+    a busy key is spread over its buckets.
+    """
+    parts = [*keys, "__bucket"]
+    rows = df.withColumns({"__bucket": bucket, "__me": F.struct(F.col(value).alias("value"))})
+    place = F.struct(*order)
+    ends = rows.groupBy(*parts).agg(
+        F.min_by("__me", place).alias("__first"), F.max_by("__me", place).alias("__last")
+    )
+    by_bucket = Window.partitionBy(*keys).orderBy(F.col("__bucket").asc_nulls_first())
+    borders = ends.select(
+        *parts, F.lag("__last").over(by_bucket).alias("__before"), F.lead("__first").over(by_bucket).alias("__after")
+    )
+    sides = F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("__before").alias("me")),
+        F.struct(F.lit(2).alias("kind"), F.col("__after").alias("me")),
+    )
+    beside = borders.select(*parts, F.explode(sides).alias("b")).select(
+        *parts, F.col("b.kind").alias("__kind"), F.col("b.me").alias("__me")
+    )
+    carried = rows.withColumn("__kind", F.lit(1)).unionByName(
+        beside.where("__me is not null"), allowMissingColumns=True
+    )
+    within = Window.partitionBy(*parts).orderBy("__kind", *[F.col(name).asc_nulls_first() for name in order])
+    found = [
+        function("__me").over(within)["value"].alias(name)
+        for name, function in ((lag, F.lag), (lead, F.lead))
+        if name is not None
+    ]
+    return carried.select(*df.columns, *found, "__kind").where("__kind = 1").drop("__kind")
 
 
 def running_by_bucket(

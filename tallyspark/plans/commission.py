@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import rules
 from tallyspark.functions.scalars import all_of, optional_equals, safe_ratio, split_csv_int
-from tallyspark.operators import ranking
+from tallyspark.operators.cuts import with_tiles
 from tallyspark.operators.joins import join_dimension, join_effective_date
 from tallyspark.session import materialise
 from tallyspark.sources import seeds
@@ -249,7 +249,7 @@ def seller_summary(finals: DataFrame) -> DataFrame:
         "quota_attainment_band", rules.quota_band(c("total_adjusted_revenue"), c("sales_quota"))
     )
     order = [("total_adjusted_revenue", "desc"), ("seller_id", "asc"), ("territory_name", "asc")]
-    return ranking.global_ntile(banded, order, 4, "revenue_quartile")
+    return with_tiles(materialise(banded, "sellers"), {"revenue_quartile": (order, 4)})
 
 
 def customer_rfm(finals: DataFrame, persons: DataFrame, end: dt.date) -> DataFrame:
@@ -276,17 +276,18 @@ def customer_rfm(finals: DataFrame, persons: DataFrame, end: dt.date) -> DataFra
 def rfm_scores(customers: DataFrame, recency: str, frequency: str, monetary: str) -> DataFrame:
     """Three quintiles: fewest days, most orders, most revenue come first.
 
-    Ranked on four columns and joined back, so the wide rows move once.
+    The customers are written once; the cut rows of all three scores are found
+    on four of their columns.
     """
-    customers = materialise(customers)
-    slim = customers.select("customer_id", recency, frequency, monetary)
-    for column, way, name in (
-        (recency, "asc", "r_score"),
-        (frequency, "desc", "f_score"),
-        (monetary, "desc", "m_score"),
-    ):
-        slim = ranking.global_ntile(slim, [(column, way), ("customer_id", "asc")], 5, name)
-    return customers.join(slim.select("customer_id", "r_score", "f_score", "m_score"), "customer_id")
+    ranked = {
+        name: ([(column, way), ("customer_id", "asc")], 5)
+        for column, way, name in (
+            (recency, "asc", "r_score"),
+            (frequency, "desc", "f_score"),
+            (monetary, "desc", "m_score"),
+        )
+    }
+    return with_tiles(materialise(customers, "customers"), ranked)
 
 
 def territory_benchmark(sellers: DataFrame) -> DataFrame:
@@ -331,7 +332,7 @@ def final_report(finals: DataFrame, persons: DataFrame, p: CommissionParams) ->
         ),
         "finals",
     )
-    sellers = materialise(seller_summary(finals), "sellers")
+    sellers = materialise(seller_summary(finals), "ranked-sellers")
     rfm = customer_rfm(finals, persons, p.end)
     top = sellers.orderBy(
         F.desc("total_adjusted_revenue"), "seller_id", "territory_name"

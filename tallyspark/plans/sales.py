@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from tallyspark.functions import rules
 from tallyspark.functions.scalars import MONEY, all_of, months_crossed, safe_ratio
 from tallyspark.operators import ranking, trend
+from tallyspark.operators.cuts import with_tiles
 from tallyspark.operators.joins import join_dimension
+from tallyspark.operators.levels import spread
 from tallyspark.session import materialise
 
 c = F.col
@@ -125,11 +127,11 @@ def with_history(lines: DataFrame, rank: str | None = None) -> DataFrame:
 def stage_sales(orders: DataFrame, lines: DataFrame, products: DataFrame, p: SalesParams) -> DataFrame:
     """Sales lines plus history, category count and revenue quartile columns.
 
-    The quartile ranks all lines of the period; it is computed first because
-    its range shuffle writes a table that the other steps then read.
+    The lines are joined once and written. The quartile ranks all lines of the
+    period by three cut rows; no wide row is sorted for it.
     """
-    base = sales_lines(orders, lines, products, p)
-    tiled = ranking.global_ntile(base, [("line_total", "desc"), *TIE_BREAK], 4, "revenue_quartile")
+    base = materialise(sales_lines(orders, lines, products, p), "sales")
+    tiled = with_tiles(base, {"revenue_quartile": ([("line_total", "desc"), *TIE_BREAK], 4)})
     counts = tiled.groupBy("category_name").agg(F.count("*").alias("category_order_count"))
     return with_history(tiled, "customer_order_rank").join(counts, "category_name")
 
@@ -178,6 +180,43 @@ def daily_summary(lines: DataFrame) -> DataFrame:
 # --- customers --------------------------------------------------------------------
 
 
+def customer_history(lines: DataFrame, running: bool = False) -> DataFrame:
+    """Sums, days and distinct orders and categories per customer, counted by levels.
+
+    Orders are rows of (customer, order), which hold the set of their
+    categories, bounded by an order's lines; categories are rows of (customer,
+    category). The lifetime value is the sum, or with ``running`` the highest
+    running total.
+    """
+    adds = {
+        "spend": F.sum("line_total"),
+        "line_count": F.count("line_total"),
+        "ship_days": F.sum("days_to_ship"),
+        "ship_count": F.count("days_to_ship"),
+    }
+    highest = [F.max("running_customer_total").alias("__highest")] if running else []
+    per_order = lines.groupBy("customer_id", "order_id").agg(
+        *[value.alias(name) for name, value in adds.items()],
+        F.min("order_date").alias("first_order_date"),
+        F.max("order_date").alias("last_order_date"),
+        *highest,
+        F.collect_set("category_name").alias("__categories"),
+    )
+    counted = per_order.withColumn("orders", F.when(c("order_id").isNotNull(), 1).otherwise(0).cast("bigint"))
+    rows = spread(counted, "__categories", "category_name", [*adds, "orders"])
+    merged = [
+        *[F.sum(name).alias(name) for name in [*adds, "orders"]],
+        F.min("first_order_date").alias("first_order_date"),
+        F.max("last_order_date").alias("last_order_date"),
+        *([F.max("__highest").alias("__highest")] if running else []),
+    ]
+    per_category = rows.groupBy("customer_id", "category_name").agg(*merged)
+    per_customer = per_category.groupBy("customer_id").agg(*merged, F.count("category_name").alias("categories"))
+    spend = c("spend").cast("decimal(29,4)")
+    lifetime = c("__highest") if running else spend
+    return per_customer.withColumn("lifetime_value", lifetime).withColumn("spend", spend).drop("__highest")
+
+
 def customer_profile(
     customers: DataFrame, lines: DataFrame, p: SalesParams, show_tier: bool = True
 ) -> DataFrame:
@@ -188,21 +227,9 @@ def customer_profile(
     highest is the sum.
     """
     if p.min_amount < 0:
-        lines = with_history(lines)
-        lifetime = F.max("running_customer_total")
+        history = customer_history(with_history(lines), running=True)
     else:
-        lifetime = F.sum("line_total")
-    history = lines.groupBy("customer_id").agg(
-        F.countDistinct("order_id").alias("orders"),
-        F.sum("line_total").alias("spend"),
-        F.count("line_total").alias("line_count"),
-        F.min("order_date").alias("first_order_date"),
-        F.max("order_date").alias("last_order_date"),
-        F.sum("days_to_ship").alias("ship_days"),
-        F.count("days_to_ship").alias("ship_count"),
-        F.countDistinct("category_name").alias("categories"),
-        lifetime.alias("lifetime_value"),
-    )
+        history = customer_history(lines)
     joined = customers.where("is_active").join(history, "customer_id", "left")
     idle = F.datediff(F.lit(p.as_of), "last_order_date")
     zero = F.lit(0.0)
@@ -354,22 +381,50 @@ def revenue_projection(revenue: DataFrame) -> DataFrame:
 # --- report -------------------------------------------------------------------------
 
 
-def report_summary(revenue: DataFrame, p: SalesParams) -> DataFrame:
-    """One row of totals. Revenue lines are the staged lines, so one pass serves all."""
-    totals = revenue.agg(
-        F.countDistinct("customer_id").alias("total_customers"),
-        F.countDistinct("order_id").alias("total_orders"),
-        F.sum("line_total").alias("gross_revenue"),
+def report_summary(revenue: DataFrame, p: SalesParams, staged: DataFrame | None = None) -> DataFrame:
+    """One row of totals: counts and gross revenue of the staged lines, and the calculated revenue.
+
+    Without ``staged`` the revenue lines, which are the staged lines, serve for
+    both. Customers, orders and categories are counted by levels.
+    """
+    staged = revenue if staged is None else staged
+    per_order = staged.groupBy("customer_id", "order_id").agg(
+        F.sum("line_total").alias("gross"),
+        F.count("line_total").alias("lines"),
+        F.collect_set("category_name").alias("__categories"),
+    )
+    counted = per_order.withColumn("orders", F.when(c("order_id").isNotNull(), 1).otherwise(0))
+    adds = ["gross", "lines", "orders"]
+    added = [F.sum(name).alias(name) for name in adds]
+    rows = spread(counted, "__categories", "category_name", adds)
+    per_category = rows.groupBy("customer_id", "category_name").agg(*added)
+    # at most one member per category of the dimension
+    per_customer = per_category.groupBy("customer_id").agg(*added, F.collect_set("category_name").alias("__categories"))
+    counted = per_customer.withColumn("customers", F.when(c("customer_id").isNotNull(), 1).otherwise(0))
+    rows = spread(counted.drop("customer_id"), "__categories", "category_name", [*adds, "customers"])
+    totals = (
+        rows.groupBy("category_name")
+        .agg(*added, F.sum("customers").alias("customers"))
+        .agg(*added, F.sum("customers").alias("customers"), F.count("category_name").alias("categories"))
+    )
+    calculated = revenue.agg(
+        F.sum("line_total").alias("gross_revenue_calc"),
         F.sum("net_revenue").alias("net_revenue"),
         F.sum("profit").alias("total_profit"),
-        safe_ratio(F.sum("line_total"), F.count("line_total")).alias("avg_order_value"),
-        F.countDistinct("category_name").alias("categories_active"),
     )
-    return totals.select(
+    # one row each
+    return totals.join(F.broadcast(calculated)).select(
         F.lit(p.start).alias("report_start_date"),
         F.lit(p.end).alias("report_end_date"),
         F.lit((p.end - p.start).days).alias("report_days"),
-        "*",
+        F.coalesce("customers", F.lit(0)).alias("total_customers"),
+        F.coalesce("orders", F.lit(0)).alias("total_orders"),
+        c("gross").alias("gross_revenue"),
+        "gross_revenue_calc",
+        "net_revenue",
+        "total_profit",
+        safe_ratio(c("gross"), c("lines")).alias("avg_order_value"),
+        c("categories").alias("categories_active"),
     )
 
 
@@ -423,18 +478,33 @@ def report_categories(revenue: DataFrame) -> DataFrame:
 
     The rule joins lines to lines of the same order and product, so a product
     on n lines of an order counts n times per line. Grouping by order and
-    product first gives the same sums without that join.
+    product first gives the same sums without that join. The grouping leaves
+    the customer out, so it does not rest on the layout of the join with tiers,
+    in which a busy customer lies in one task; AQE can split that join.
     """
-    grain = revenue.groupBy("category_name", "order_id", "customer_id", "product_id").agg(
-        F.count("*").alias("n"), F.sum("line_total").alias("lines"), F.sum("profit").alias("profit")
+    grain = revenue.groupBy("category_name", "order_id", "product_id").agg(
+        F.count("*").alias("n"),
+        F.sum("line_total").alias("lines"),
+        F.sum("profit").alias("profit"),
+        F.max("customer_id").alias("customer_id"),
     )
     weight = c("n").cast("decimal(10,0)")
-    sums = grain.groupBy("category_name").agg(
-        F.countDistinct("order_id").alias("orders"),
-        F.countDistinct("customer_id").alias("unique_customers"),
-        F.sum((c("lines") * weight).cast("decimal(28,4)")).alias("revenue"),
-        F.sum(c("n") * c("n")).alias("__pairs"),
-        F.sum((c("profit") * weight).cast("decimal(28,4)")).alias("category_profit"),
+    adds = {
+        "revenue": (c("lines") * weight).cast("decimal(28,4)"),
+        "__pairs": c("n") * c("n"),
+        "category_profit": (c("profit") * weight).cast("decimal(28,4)"),
+    }
+    # an order has one customer: orders and customers are counted as rows, a level at a time
+    per_order = grain.groupBy("category_name", "customer_id", "order_id").agg(
+        *[F.sum(value).alias(name) for name, value in adds.items()]
+    )
+    per_customer = per_order.groupBy("category_name", "customer_id").agg(
+        *[F.sum(name).alias(name) for name in adds], F.count("order_id").alias("orders")
+    )
+    sums = per_customer.groupBy("category_name").agg(
+        *[F.sum(name).alias(name) for name in adds],
+        F.sum("orders").alias("orders"),
+        F.count("customer_id").alias("unique_customers"),
     )
     # one row per category
     by_revenue = Window.orderBy(F.desc("revenue"), "category_name")
@@ -466,7 +536,8 @@ def report(
     Sections that were not asked for are never planned.
     """
     sections: dict[str, DataFrame] = {}
-    staged = sales_lines(orders, lines, products, p)
+    # joined once, read by the profile, the revenue and the summary
+    staged = materialise(sales_lines(orders, lines, products, p), "sales")
     profile = customer_profile(customers, staged, p)
     if kind in ("Full", "Customers"):
         profile = materialise(profile, "profile")
@@ -474,7 +545,7 @@ def report(
     if kind in ("Full", "Summary", "Categories"):
         revenue = revenue_calc(staged, p, customer_tiers(profile))
         if kind in ("Full", "Summary"):
-            sections["summary"] = report_summary(revenue, p)
+            sections["summary"] = report_summary(revenue, p, staged)
         if kind in ("Full", "Categories"):
             sections["categories"] = report_categories(revenue)
     return sections
