@@ -85,13 +85,12 @@ spark.stop()
     assert {p.name.split("-")[0] for p in tmp_path.iterdir() if p.is_dir()} >= {"three", "four"}
 
 
-def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+def test_a_cluster_needs_a_shared_folder():
     class Context:
         master, getCheckpointDir = "spark://host", staticmethod(lambda: None)
 
     class Session:
-        sparkContext = Context
-        conf = spark.conf
+        sparkContext, conf = Context, {}
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session)

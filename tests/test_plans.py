@@ -42,6 +42,69 @@ def test_no_window_holds_a_whole_table(spark, name):
             assert "__rows" in line or "__part" in line or "__sum" in line, line
 
 
+@pytest.fixture
+def shuffled(spark):
+    """Plans as they are when no side of a join is small."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def tree(plan):
+    """(depth, name) of each node of a plan's text."""
+    nodes = []
+    for line in plan.splitlines():
+        found = re.match(r"^([ :|+-]*)(?:\*\(\d+\) )?([A-Z][A-Za-z]+)", line)
+        if found:
+            nodes.append((len(found.group(1)), found.group(2)))
+    return nodes
+
+
+@pytest.mark.parametrize("name", ["agg_path_b", "customer_facts", "report_categories", "reconcile_two_paths"])
+def test_no_aggregate_rests_on_the_layout_of_a_join(spark, shuffled, name):
+    """Between a join and the last step of an aggregate there is an exchange, so AQE may split a hot key."""
+    nodes = tree(plan_of(spark, name))
+    grouped = 0
+    for i, (depth, node) in enumerate(nodes):
+        if not node.endswith("Aggregate"):
+            continue
+        below = [n for d, n in nodes[i + 1 :]]
+        deeper = next((j for j, (d, _) in enumerate(nodes[i + 1 :]) if d <= depth), len(below))
+        chain = []
+        for n in below[:deeper]:
+            if n.endswith("Exchange") or n.endswith("Join") or n.startswith("Scan") or n.startswith("FileScan"):
+                chain.append(n)
+                break
+            chain.append(n)
+        aggregates = sum(n.endswith("Aggregate") for n in chain)
+        grouped += 1
+        # a partial aggregate may stand on a join; a final one above it must not
+        assert not (chain and chain[-1].endswith("Join") and aggregates), (name, chain)
+    assert grouped >= 4
+
+
+@pytest.mark.parametrize("name", ["report_summary", "customer_profile", "report_categories", "agg_path_b"])
+def test_distinct_counts_copy_no_rows(spark, name):
+    assert "Expand" not in plan_of(spark, name)
+
+
+@pytest.mark.parametrize(
+    "name, table, times",
+    [("comm_line_finals", "lineitem", 0), ("rfm_score", "lineitem", 0), ("revenue_calc", "lineitem", 0),
+     ("report_summary", "lineitem", 0), ("customer_payload", "lineitem", 0), ("agg_path_b", "lineitem", 1)],
+)
+def test_lines_are_read_once(spark, name, table, times):
+    """Queries that use the lines twice read a stage of them; the table itself is not in the plan above it."""
+    assert plan_of(spark, name).count(f"{table}.parquet") == times
+
+
+def test_neighbours_and_best_rules_join_no_frame_with_itself(spark, shuffled):
+    for name in ("win_lag", "win_lead", "trigger_change_audit", "join_self_before_after"):
+        assert "SortMergeJoin" not in plan_of(spark, name), name
+    assert "collect_list" not in plan_of(spark, "join_effective_date_best")
+
+
 def sources():
     for folder, _, names in os.walk(os.path.join(ROOT, "tallyspark")):
         for name in names:
@@ -56,6 +119,9 @@ def test_nothing_is_collected_or_checkpointed_locally():
         "urls.py": 1,  # at most 20,000 labelled rows
         "language.py": 1,  # one count per language and hash
         "toxicity.py": 1,  # one weight per hash
+        "html_text.py": 1,  # at most 2,000 labelled pages
+        "vector_codes.py": 3,  # the first vectors, and one sum per entry and position
+        "files.py": 1,  # one name per data file
         "decontamination.py": 1,  # a block of the benchmark, at most 16 MB
     }
     for name, text in sources():

@@ -97,6 +97,21 @@ def test_quota_bands(spark):
     ]
 
 
+def test_bands_and_tolerance_are_decided_in_decimals(spark):
+    df = spark.createDataFrame(
+        [(D("4.02"), D("3.35")), (D("4.0199"), D("3.35")), (D("-1.20"), D("-1.00")), (None, D(1))],
+        "r decimal(19,4), q decimal(19,4)",
+    )
+    assert [r[0] for r in df.select(rules.quota_band(c("r"), c("q"))).collect()] == [
+        "Overachiever", "On Target", "Overachiever", "At Risk",
+    ]
+    pairs = spark.createDataFrame(
+        [(D("3.35"), D("0.0335")), (D("3.35"), D("0.0336")), (D(0), D(0)), (None, D(1)), (D(-5), D(1))],
+        "total_revenue_path_a decimal(19,4), revenue_delta_ab decimal(19,4)",
+    )
+    assert [r[0] for r in pairs.select(facts.paths_agree(D("0.01"))).collect()] == [1, 0, 0, 0, 1]
+
+
 def test_discounts(spark):
     df = spark.createDataFrame(
         [(D(60), "Silver", False), (D(60), "Standard", False), (D(50), "Standard", False), (D(100), "Platinum", True)],
