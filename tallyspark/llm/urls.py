@@ -39,51 +39,43 @@ RULES = (
     Rule("block", "com", "/de/"),
 )
 
-#: Labelled URLs: 1 unwanted, 0 wanted.
-LABELLED = [
-    ("http://cheap-pills.example.com/en/12", 1),
-    ("http://www.cheap-meds.example.net/buy", 1),
-    ("https://pills-online.example.org/order", 1),
-    ("http://buy-pills.example.com/fr/3", 1),
-    ("https://casino-win.example.com/de/88", 1),
-    ("http://best-casino.example.net/slots", 1),
-    ("http://win-casino.example.org/es/7", 1),
-    ("https://free-bets.example.com/en/9", 1),
-    ("http://sport-bets.example.net/odds", 1),
-    ("http://bets-free.example.org/bonus", 1),
-    ("http://spam-farm.example.com/es/31", 1),
-    ("https://link-farm.example.net/links", 1),
-    ("http://farm-spam.example.org/en/5", 1),
-    ("http://ads-track.example.com/fr/64", 1),
-    ("https://track-ads.example.net/pixel", 1),
-    ("http://ads-click.example.org/banner", 1),
-    ("http://adult-x.example.net/en/2", 1),
-    ("https://xxx-adult.example.com/video", 1),
-    ("http://adult-cams.example.org/live", 1),
-    ("https://blog.example.com/en/41", 0),
-    ("http://www.example.net/fr/532", 0),
-    ("https://news.example.org/en/77.html", 0),
-    ("http://m.weather.example.com/de/8/", 0),
-    ("https://library.example.net/es/19", 0),
-    ("http://university.example.org/en/366", 0),
-    ("https://www.garden.example.com/en/901", 0),
-    ("http://blog.kitchen.example.net/de/5", 0),
-    ("https://m.history.example.org/fr/650.html", 0),
-    ("http://science.example.com/es/23/", 0),
-    ("https://travel.example.net/en/484", 0),
-    ("http://www.music.example.org/de/720", 0),
-    ("https://blog.theater.example.com/fr/118", 0),
-    ("http://m.nation.example.net/en/305/", 0),
-    ("https://orchard.example.org/es/94.html", 0),
-    ("http://www.other.example.com/en/267", 0),
-    ("https://thing.example.net/de/812", 0),
-    ("http://blog.winter.example.com/fr/46", 0),
-    ("https://www.address.example.net/en/58", 0),
-]
+#: Words of hosts that nobody wants in a corpus, and of hosts that are fine.
+UNWANTED = (
+    "casino poker slots roulette betting bets jackpot lottery pills pharmacy viagra meds adult xxx porn cams escort "
+    "spam spammer seo backlinks farm ads adserver adclick banner tracker tracking track popunder payday loans cheap "
+    "discount replica warez crack torrent malware phishing clickbait free win bonus deals coupon"
+).split()
+WANTED = (
+    "library university museum school garden kitchen recipes weather history science travel music theater nation "
+    "winter address orchard city council hospital sport football news daily times journal review research physics "
+    "chemistry maps bridge river mountain village art photo film book poem story language grammar letters math "
+    "ocean forest station market bakery church festival painting cooking reading writing running building training "
+    "wedding knitting sailing thing nothing something other brother mother together leather there these those third "
+    "thirteen thunder theory therapy north south earth health youth truth method author tradition education "
+    "information question region action motion version season reason person lesson shelter water winter center letter "
+    "teacher river paper summer number order border corner dinner farmer father sister doctor editor mirror error "
+    "answer ancient silent student parent moment planet cabinet internet sonnet tennis finish english spanish danish "
+    "fresh ship shore shape share island inland onion union opinion thread throne three tree street sweet green queen "
+    "onward inner under handle candle table cable stable bible noble double trouble humble rest nest forest west "
+    "harvest interest best honest artist dentist list mist almost post host cost coast east feast beast yeast"
+).split()
+_ENDS = ("example.com", "example.net", "example.org")
+_PATHS = ("/en/12", "/de/8/", "/fr/532.html", "/", "/es/77", "/en/401?page=2", "/index.html")
+
+
+def labelled() -> list[tuple[str, int]]:
+    """URLs with 1 for unwanted and 0 for wanted, composed alike for both: each word alone, with a prefix, and in pairs."""
+    rows = []
+    for words, label in ((UNWANTED, 1), (WANTED, 0)):
+        for i, word in enumerate(words):
+            other, third = words[(i + 4) % len(words)], words[(3 * i + 11) % len(words)]
+            for j, name in enumerate((word, f"www.{word}", f"blog.{word}", f"m.{word}", f"{word}{other}", f"{third}.{word}")):
+                rows.append((f"http{'s' * (j % 2)}://{name}.{_ENDS[(i + j) % 3]}{_PATHS[(i + 2 * j) % 7]}", label))
+    return rows
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LABELLED, "url string, label int")
+    return spark.createDataFrame(labelled(), "url string, label int")
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -130,7 +122,7 @@ class UrlModel:
         return float(1 / (1 + np.exp(-margin)))
 
 
-def fit(labelled: DataFrame, rounds: int = 400, rate: float = 0.5, ridge: float = 1e-4) -> UrlModel:
+def fit(labelled: DataFrame, rounds: int = 400, rate: float = 20.0, ridge: float = 1e-4) -> UrlModel:
     """Logistic regression by gradient descent, both classes weighing the same.
 
     Rows without a label are left out; of more than ``MAX_LABELLED`` rows those
@@ -159,8 +151,8 @@ def fit(labelled: DataFrame, rounds: int = 400, rate: float = 0.5, ridge: float
         margin = bias + np.bincount(owner, weights[index] * value, len(x))
         error = (1 / (1 + np.exp(-margin)) - y) * share
         gradient = np.bincount(index, error[owner] * value, 1 << BITS)
-        weights = weights - rate * len(x) * (gradient + ridge * weights)
-        bias -= rate * error.sum()
+        weights = weights - rate * (gradient + ridge * weights)
+        bias -= rate / 40 * error.sum()
     return UrlModel(weights, bias)
 
 

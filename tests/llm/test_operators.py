@@ -241,7 +241,14 @@ def test_urls(llm):
         assert found[i].verdict == (best.verdict if best else "block" if found[i].score >= 0.5 else "allow")
     assert found[11].verdict == "block"
     fitted = {(r.url): model.score(*plain_parts(r.url)) for r in urls.labelled_urls(llm).collect()}
-    assert all((fitted[u] >= 0.5) == bool(y) for u, y in urls.LABELLED)
+    assert all((fitted[u] >= 0.5) == bool(y) for u, y in urls.labelled())
+    # hosts of the test pages are not learned from, and told apart
+    unwanted = ("cheap-pills", "casino-win", "free-bets", "spam-farm", "ads-track", "adult-x")
+    assert not any(stem in u for u, _ in urls.labelled() for stem in unwanted)
+    judged = urls.judge(llm.read.parquet(f"{DATA}/pages.parquet"), model).collect()
+    by_host = [(any(stem in r.host for stem in unwanted), r.score >= 0.5) for r in judged]
+    assert all(blocked for bad, blocked in by_host if bad)
+    assert sum(blocked for bad, blocked in by_host if not bad) <= len(by_host) / 50
     assert urls.judge(pages.limit(0), model).count() == 0
     assert urls.fit(urls.labelled_urls(llm).limit(0)).score("a", "b") == 0.5
 
