@@ -109,3 +109,34 @@ def dependency_levels(edges: DataFrame) -> DataFrame:
     chained = ends.join(known.withColumnsRenamed({"node": "__at", "level": "__level"}), F.col("to") == F.col("__at"), "left")
     level = F.when(~F.col("open"), F.col("__level") + F.col("far"))
     return known.unionByName(chained.select("node", level.cast("int").alias("level")))
+
+
+def cycle_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes without a level: those on or behind a cycle, joined where edges join them.
+
+    A component is named by its smallest node. Each round takes the least name
+    among a node and its neighbours, then the name of that name; names travel
+    twice as far each time, so rounds grow with the logarithm of a component's width.
+    """
+    levels = materialise(dependency_levels(edges), "levels")
+    stuck = levels.where("level is null").select("node")
+    links = edges.select("node", F.col("depends_on").alias("other")).join(stuck, "node", "left_semi")
+    links = links.join(stuck.withColumnRenamed("node", "other"), "other", "left_semi").select("node", "other")
+    both = materialise(links.union(links.select("other", "node")).distinct(), "links")
+    named = materialise(stuck.withColumn("component", F.col("node")), "components")
+    while True:
+        beside = both.join(named.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("__least"))
+        nearer = materialise(
+            named.join(beside, "node", "left").select(
+                "node", F.col("component").alias("before"), F.least("component", F.coalesce("__least", "component")).alias("component")
+            ),
+            "components",
+        )
+        ahead = nearer.select(F.col("node").alias("__node"), F.col("component").alias("__next"))
+        jumped = materialise(
+            nearer.join(ahead, F.col("component") == F.col("__node")).select("node", "before", F.col("__next").alias("component")),
+            "components",
+        )
+        named = jumped.select("node", "component")
+        if jumped.where("component <> before").isEmpty():
+            return named

@@ -102,6 +102,15 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     assert len(found) == 1101 + 6 and len(writes) < 20
 
 
+def test_cycles_are_named_by_component(spark):
+    ring = [(f"r{i:02d}", f"r{(i + 1) % 40:02d}") for i in range(40)]
+    more = [("x", "y"), ("y", "x"), ("behind", "x"), ("free", "end"), ("self", "self"), ("r05", "end")]
+    edges = spark.createDataFrame([*ring, *more], "node string, depends_on string")
+    found = dict(values(graph.cycle_components(edges), "node", "component"))
+    assert {found[f"r{i:02d}"] for i in range(40)} == {"r00"}
+    assert {n: c for n, c in found.items() if n[0] != "r"} == {"x": "behind", "y": "behind", "behind": "behind", "self": "self"}
+
+
 def test_spread_keeps_sums(spark):
     rows = spark.createDataFrame([(1, ["a", "b"], 5), (2, [], 7), (3, None, 1)], "k int, s array<string>, n int")
     assert sorted(map(tuple, spread(rows, "s", "m", ["n"]).collect()), key=str) == [
