@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.common import mix64, slices
 from tallyspark.llm.components import components
-from tallyspark.llm.wordhash import sequence_hashes, word_hashes
+from tallyspark.llm.wordhash import forgetting, sequence_hashes, word_hashes
 from tallyspark.session import materialise
 
 #: 40 bands of 6: a pair of similarity 0.8 shares no band in 5 of a million cases.
@@ -121,7 +121,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>, odd array<long>"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(forgetting(run), schema)
 
 
 def compare(pairs: DataFrame, node_texts: DataFrame, size: int) -> DataFrame:
@@ -148,7 +148,7 @@ def compare(pairs: DataFrame, node_texts: DataFrame, size: int) -> DataFrame:
             )
 
     return rows.select("u", "v", "text_u", "text_v").mapInArrow(
-        run, "u long, v long, shared long, total long"
+        forgetting(run), "u long, v long, shared long, total long"
     )
 
 

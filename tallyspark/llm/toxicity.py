@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.llm.common import slices
-from tallyspark.llm.wordhash import sequence_hashes, word_hashes
+from tallyspark.llm.wordhash import forgetting, sequence_hashes, word_hashes
 
 #: Labelled rows the model is fitted on at most: those with the smallest hash of their id.
 MAX_LABELLED = 20_000
@@ -166,7 +166,7 @@ def with_scores(docs: DataFrame, model: ToxicityModel, name: str = "score") -> D
             )
 
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(forgetting(run), schema)
 
 
 def reject_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = REJECT) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -9,8 +10,8 @@ import xxhash
 
 from tallyspark.llm.common import mix64
 
-#: Words whose hash a worker keeps; when there are more, it starts anew.
-KEPT_WORDS = 1_000_000
+#: Words whose hash a worker keeps while it works on a partition, about 130 bytes each; when there are more, it starts anew.
+KEPT_WORDS = 250_000
 
 
 class _Known(dict):
@@ -22,6 +23,18 @@ class _Known(dict):
 _KNOWN = _Known()
 
 
+def forgetting(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A partition's function that leaves no words behind: workers outlive their partitions and stages."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _KNOWN.clear()
+
+    return wrapped
+
+
 def word_hashes(split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of several documents in a row, and each document's word count."""
     if len(_KNOWN) > KEPT_WORDS:
