@@ -28,7 +28,7 @@ to count its positions by parts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -300,35 +300,86 @@ def _sorted_repeats(excerpts: DataFrame, length: int) -> DataFrame:
         if held:
             yield held
 
-    def repeats(held: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        # by common bytes: the texts there, and the places of each
-        parts: dict[tuple, dict[bytes, set[tuple[int, int]]]] = {}
+    def shared(held: list[tuple]) -> Iterable[dict[bytes, set[tuple[int, int]]]]:
+        """Parts with the same name, nearness and common bytes, where there are several: their texts, and the places of each."""
+        alone: dict[tuple, tuple] = {}
+        several: dict[tuple, dict[bytes, set[tuple[int, int]]]] = {}
         for key, row, first, at, data in held:
             for near, begin, end, core in _parts(data, at, length, FINE_STEP):
-                found = parts.setdefault((key, near, core), {})
-                found.setdefault(data[begin:end], set()).add((row, first + begin))
-        unsettled: dict[bytes, set[tuple[int, int]]] = {}
-        for found in parts.values():
+                part, text, place = (key, near, core), data[begin:end], (row, first + begin)
+                before = alone.get(part)
+                if before is None:
+                    alone[part] = (text, place)
+                    continue
+                found = several.get(part)
+                if found is None:
+                    found = several[part] = {before[0]: {before[1]}}
+                found.setdefault(text, set()).add(place)
+        return several.values()
+
+    def whole(parts: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
+        """(row, first, text): parts of one row whose strings start side by side, as one text."""
+        parts.sort(key=lambda part: part[:2])
+        row, first, pieces, end = None, 0, [], 0
+        for other, begin, text in parts:
+            if other == row and begin <= end - length + 1:
+                if begin + len(text) > end:
+                    pieces.append(text[end - begin :])
+                    end = begin + len(text)
+                continue
+            if row is not None:
+                yield row, first, b"".join(pieces)
+            row, first, pieces, end = other, begin, [text], begin + len(text)
+        if row is not None:
+            yield row, first, b"".join(pieces)
+
+    def repeats(held: list[tuple]) -> Iterator[tuple[int, int, int]]:
+        # texts at several places are settled, and sorted once for the others' sake
+        settled: dict[bytes, set[tuple[int, int]]] = {}
+        parts: list[tuple[int, int, bytes]] = []
+        for found in shared(held):
             for text, places in found.items():
-                if len(found) > 1:
-                    unsettled.setdefault(text, set()).update(places)
                 if len(places) > 1:
                     yield from ((row, first, first + len(text)) for row, first in places)
+                    if len(found) > 1:
+                        settled.setdefault(text, set()).update(places)
+                elif len(found) > 1:
+                    parts += [(row, first, text) for row, first in places]
+        open_ = list(whole(parts))
         number: dict[int, int] = {}
-        texts = list(unsettled)
-        placed = [[number.setdefault(row, len(number)) << 40 | first for row, first in unsettled[t]] for t in texts]
-        low, high = (np.array([of(p) for p in placed], dtype=np.int64) for of in (min, max))
-        for text, starts in zip(texts, repeated_starts(texts, low, high, length), strict=True):
-            if len(starts) and len(unsettled[text]) == 1:
+
+        def placed(row: int, first: int) -> int:
+            return number.setdefault(row, len(number)) << 40 | first
+
+        spots = [[placed(row, first)] for row, first, _ in open_]
+        spots += [[placed(row, first) for row, first in places] for places in settled.values()]
+        low, high = (np.array([of(p) for p in spots], dtype=np.int64) for of in (min, max))
+        starts_of = repeated_starts([text for _, _, text in open_] + list(settled), low, high, length)
+        for (row, first, _), starts in zip(open_, starts_of, strict=False):
+            if len(starts):
                 breaks = np.flatnonzero(np.diff(starts) > length)
                 begin = starts[np.concatenate([[0], breaks + 1])].tolist()
                 end = (starts[np.concatenate([breaks, [-1]])] + length).tolist()
-                for row, first in unsettled[text]:
-                    yield from ((row, first + b, first + e) for b, e in zip(begin, end, strict=True))
+                yield from ((row, first + b, first + e) for b, e in zip(begin, end, strict=True))
+
+    def united(spans: Iterator[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Spans of one row that overlap or touch, as one."""
+        out: list[tuple[int, int, int]] = []
+        last_row, last_first, last_end = None, 0, 0
+        for row, first, end in sorted(set(spans)):
+            if row == last_row and first <= last_end:
+                last_end = max(last_end, end)
+                continue
+            if last_row is not None:
+                out.append((last_row, last_first, last_end))
+            last_row, last_first, last_end = row, first, end
+        if last_row is not None:
+            out.append((last_row, last_first, last_end))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in groups(batches):
-            rows = list(dict.fromkeys(repeats(held)))
+            rows = united(repeats(held))
             for start in range(0, len(rows), 65536):
                 columns = zip(*rows[start : start + 65536], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", "first", "end"])
