@@ -8,6 +8,9 @@ written as Parquet to the shared folder and read again.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm import decontamination, near_duplicates, packing, repeats, toxicity
@@ -15,6 +18,25 @@ from tallyspark.llm.common import remainder, table
 from tallyspark.session import materialise
 
 
+#: Texts that go to a Python worker at a time. Spark's own bound, 64 MB in each of several buffers of every
+#: operator of a task, is more than an executor of 3 GB has beside its heap.
+BATCH_BYTES = 8 << 20
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """A stage whose texts travel in Arrow batches of at most ``BATCH_BYTES``, or one row."""
+
+    @functools.wraps(stage)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return bounded
+
+
+@in_small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7; the model learns from labels of two in three documents."""
     labels = table(spark, sf_dir, "labels")
@@ -22,21 +44,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject_toxic(docs, model)
 
 
+@in_small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more in five-word shingles."""
     return near_duplicates.drop_near_duplicates(docs, 5)
 
 
+@in_small_batches
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without strings of 200 bytes that start more than once."""
     return repeats.remove_repeats(docs, 200)
 
 
+@in_small_batches
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any 10-word passage of the benchmark."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), "documents", 10)
 
 
+@in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 1024 ids."""
     return packing.pack(docs, "byte_bpe_50k.json", 1024, 0)
