@@ -8,6 +8,7 @@ from tallyspark.catalog.registry import query
 from tallyspark.functions.rules import quota_band
 from tallyspark.functions.scalars import as_money, safe_ratio
 from tallyspark.operators import trend
+from tallyspark.operators.joins import partitions_for
 
 
 @query("agg_count_star", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag")
@@ -127,8 +128,13 @@ def _(t):
     """,
 )
 def _(t):
+    lines = t.lineitem.where(F.col("l_orderkey").isNotNull()).select("l_orderkey", "l_partkey", "l_extendedprice")
+    orders = t.orders.where(F.col("o_orderkey").isNotNull()).select("o_custkey", "o_orderkey")
+    # nearly every line is a group of its own, so a task's memory follows its rows
+    parts = partitions_for(lines)
     per_order = (
-        t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"))
+        orders.repartition(parts, "o_orderkey")
+        .join(lines.repartition(parts, "l_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy("o_custkey", "o_orderkey")
         .agg(
             F.count("*").alias("lines"),

@@ -134,3 +134,11 @@ def test_schemas_are_stable(spark):
 
     assert entry(spark).schema == entry(spark).schema
     assert entry(spark).count() > 0
+
+
+def test_rows_of_a_task_are_bounded_where_nearly_every_line_is_a_group(spark, monkeypatch):
+    """Tasks sized by compressed bytes get millions of narrow rows."""
+    monkeypatch.setattr("tallyspark.operators.joins.TASK_ROWS", 100)
+    plan = plan_of(spark, "agg_two_level")
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    assert re.search(rf"hashpartitioning\(l_orderkey#\d+L, {-(-lines // 100)}\), REPARTITION_BY_NUM", plan)
