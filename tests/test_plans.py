@@ -142,3 +142,19 @@ def test_rows_of_a_task_are_bounded_where_nearly_every_line_is_a_group(spark, mo
     plan = plan_of(spark, "agg_two_level")
     lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
     assert re.search(rf"hashpartitioning\(l_orderkey#\d+L, {-(-lines // 100)}\), REPARTITION_BY_NUM", plan)
+
+
+def test_lines_travel_without_their_orders_columns(spark, monkeypatch):
+    """The staged lines hold what is computed from and what was asked for; orders take the tiers."""
+    from tallyspark.plans import commission
+
+    staged = {}
+
+    def keep(df, label="stage", compression=None):
+        staged[label] = set(df.columns)
+        return df
+
+    monkeypatch.setattr(commission, "materialise", keep)
+    QUERIES["comm_pricing"](spark, DATA)
+    assert staged["lines"] == {"order_id", "line_no", "product_id", "line_total", "category_name", "subcategory_name"}
+    assert {"customer_id", "territory_group"} <= staged["orders"] and "line_total" not in staged["orders"]
