@@ -126,3 +126,15 @@ def test_one_key_in_order(spark, tmp_path):
     auditor.run_once(stream(spark, source))
     assert found(auditor.settled(), auditor.waiting()) == [(2, 1, "status", "a", "b")]
     assert auditor.waiting().where(F.col("id") == 1).count() == 0
+
+
+def test_images_are_tuples_with_null_first_ascending_and_last_descending():
+    from pyspark.sql import types as T
+
+    from tallyspark.streaming.keyed import Neighbours
+
+    image = T.StructType([T.StructField(name, T.IntegerType()) for name in ("a", "b", "__ms")])
+    processor = Neighbours(image, [("a", "asc"), ("b", "desc")], "__ms", None, ["b"])
+    images = [(1, None, 0), (1, 5, 0), (None, 1, 0), (1, 7, 0), (None, None, 0)]
+    processor._sort(images)
+    assert images == [(None, 1, 0), (None, None, 0), (1, 7, 0), (1, 5, 0), (1, None, 0)]
