@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 
 #: Text handled at a time inside a task, so that memory does not depend on Spark's batch size.
 SLICE_BYTES = 1 << 20
+#: Text that goes to a Python worker at a time. Spark's own bound, 64 MB in each of several buffers of every
+#: operator of a task, is more than an executor of 3 GB has beside its heap.
+BATCH_BYTES = 2 << 20
+#: What a worker keeps from one partition to the next, by module; work that does not use it empties it.
+KEPT: list[dict] = []
 
 
 _SHIPPED: set[str] = set()
@@ -31,6 +36,11 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(context.applicationId)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES``, or one row, from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")

@@ -17,14 +17,17 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
+from tallyspark.llm.common import KEPT
+
 #: White space in the sense of Unicode, the class \\s of the vocabularies' patterns.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters that both patterns end a word after, when one of these marks follows.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 PIECES = re.compile(f"[{WHITE}]*(?:[{LETTERS}]++(?=[.,;:!?|])|[^{WHITE}]+)|[{WHITE}]+")
-#: Kept pieces of a worker, of so many characters; when there are more, it starts anew.
-KEPT_PIECES = 1_500_000
-KEPT_CHARS = 32_000_000
+#: Pieces of a generation, of so many characters. A worker keeps two: a full one becomes the older, whose pieces are
+#: taken over when they are met again, and the older before it goes. About 160 bytes a piece.
+KEPT_PIECES = 400_000
+KEPT_CHARS = 12_000_000
 
 
 def vocabulary(name: str) -> str:
@@ -43,11 +46,11 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         path = vocabulary(name)
         self.plain = Tokenizer.from_file(path)
-        self.marked = Tokenizer.from_file(path)
-        special = [(i, t.content) for i, t in self.marked.get_added_tokens_decoder().items() if t.special]
+        special = [(i, t.content) for i, t in self.plain.get_added_tokens_decoder().items() if t.special]
         self.mark_id, self.mark = max(special) if special else (None, None)
         self.reserved = [text.lower() for _, text in special]
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.chars = 0
 
     def direct(self, texts: list[str]) -> list[bytes]:
@@ -65,7 +68,7 @@ class Encoder:
         for first in range(0, len(pieces), 4096):
             part = pieces[first : first + 4096]
             joined = self.mark.join(part) + self.mark
-            found = self.marked.encode_batch_fast([joined], add_special_tokens=False)[0]
+            found = self.plain.encode_batch_fast([joined], add_special_tokens=False)[0]
             ids = np.array(found.ids, dtype="<u4")
             ends = np.flatnonzero(ids == self.mark_id)
             packed, start = ids.tobytes(), 0
@@ -76,15 +79,21 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.kept) > KEPT_PIECES or self.chars > KEPT_CHARS:
-            self.kept, self.chars = {}, 0
-        kept, cut = self.kept, [PIECES.findall(text) for text in texts]
+            self.older, self.kept, self.chars = self.kept, {}, 0
+        kept, older, cut = self.kept, self.older, [PIECES.findall(text) for text in texts]
         new = {piece for pieces in cut for piece in pieces if piece not in kept}
+        if older and new:
+            again = [piece for piece in new if piece in older]
+            kept.update((piece, older[piece]) for piece in again)
+            self.chars += sum(map(len, again))
+            new.difference_update(again)
         if new:
             self._learn(list(new))
         return [b"".join(map(kept.__getitem__, pieces)) for pieces in cut]
 
 
 _ENCODERS: dict[str, Encoder] = {}
+KEPT.append(_ENCODERS)
 
 
 def encoder(name: str) -> Encoder:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import slices, texts
+from tallyspark.llm.common import slices, small_batches, texts
 from tallyspark.llm.encoding import encoder
 
 #: Documents of a file; a file is read as a whole.
@@ -82,6 +82,7 @@ def write_records(
     index. The number of files follows from the number of documents.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from itertools import chain
 import numpy as np
 import xxhash
 
-from tallyspark.llm.common import mix64
+from tallyspark.llm.common import KEPT, mix64
 
 #: Words whose hash a worker keeps while it works on a partition, about 130 bytes each; when there are more, it starts anew.
 KEPT_WORDS = 250_000
@@ -24,9 +24,14 @@ _KNOWN = _Known()
 
 
 def forgetting(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A partition's function that leaves no words behind: workers outlive their partitions and stages."""
+    """A partition's function that leaves no words behind: workers outlive their partitions and stages.
+
+    What an earlier stage's work left in the worker goes first.
+    """
 
     def wrapped(batches: Iterator) -> Iterator:
+        for kept in KEPT:
+            kept.clear()
         try:
             yield from run(batches)
         finally:
