@@ -14,23 +14,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm import decontamination, near_duplicates, packing, repeats, toxicity
-from tallyspark.llm.common import remainder, table
+from tallyspark.llm.common import remainder, small_batches, table
 from tallyspark.session import materialise
 
 
-#: Texts that go to a Python worker at a time. Spark's own bound, 64 MB in each of several buffers of every
-#: operator of a task, is more than an executor of 3 GB has beside its heap.
-BATCH_BYTES = 8 << 20
-
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def in_small_batches(stage: Stage) -> Stage:
-    """A stage whose texts travel in Arrow batches of at most ``BATCH_BYTES``, or one row."""
+    """A stage whose texts travel in Arrow batches of at most ``common.BATCH_BYTES``, or one row."""
 
     @functools.wraps(stage)
     def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        small_batches(spark)
         return stage(spark, docs, sf_dir)
 
     return bounded
