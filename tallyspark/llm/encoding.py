@@ -23,7 +23,7 @@ from tallyspark.llm.common import KEPT
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters that both patterns end a word after, when one of these marks follows.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
-PIECES = re.compile(f"[{WHITE}]*(?:[{LETTERS}]++(?=[.,;:!?|])|[^{WHITE}]+)|[{WHITE}]+")
+PIECES = re.compile(f"[{WHITE}]*+(?:[{LETTERS}]++(?:(?=[.,;:!?|])|[^{WHITE}]*+)|[^{WHITE}]++)|[{WHITE}]++")
 #: Pieces of a generation, of so many characters. A worker keeps two: a full one becomes the older, whose pieces are
 #: taken over when they are met again, and the older before it goes. About 160 bytes a piece.
 KEPT_PIECES = 400_000
@@ -81,7 +81,7 @@ class Encoder:
         if len(self.kept) > KEPT_PIECES or self.chars > KEPT_CHARS:
             self.older, self.kept, self.chars = self.kept, {}, 0
         kept, older, cut = self.kept, self.older, [PIECES.findall(text) for text in texts]
-        new = {piece for pieces in cut for piece in pieces if piece not in kept}
+        new = set().union(*cut).difference(kept)
         if older and new:
             again = [piece for piece in new if piece in older]
             kept.update((piece, older[piece]) for piece in again)

@@ -106,30 +106,27 @@ def write_records(
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(
         f"{path}/data"
     )
-    _entries(spark, path).select("file", "doc_id", "offset", "length", "n_tokens").write.parquet(
-        f"{path}/index"
-    )
+    _entries(spark, path, ids=False).drop("before").write.parquet(f"{path}/index")
 
 
-def _entries(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the data files, in order, with ids, place and checks done."""
+def _entries(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """Every record of the data files, in order, with place, checks done, and its ids unless told otherwise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, data in zip(batch.column("file"), batch.column("content"), strict=True):
-                yield from _records(file.as_py(), data.as_py())
+                yield from _records(file.as_py(), data.as_py(), ids)
 
     # names, not paths: a path may be given in several forms
     file = F.element_at(F.split("path", "/"), -1).alias("file")
     files = spark.read.format("binaryFile").load(f"{path}/data/*").select(file, "content")
-    return files.mapInArrow(
-        run, "file string, doc_id long, offset long, length long, n_tokens long, before long, ids binary"
-    )
+    schema = "file string, doc_id long, offset long, length long, n_tokens long, before long"
+    return files.mapInArrow(run, f"{schema}, ids binary" if ids else schema)
 
 
-def _records(file: str, data: bytes) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "offset", "length", "n_tokens", "before", "ids"]
-    types = [pa.int64()] * 5 + [pa.binary()]
+def _records(file: str, data: bytes, with_ids: bool = True) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "offset", "length", "n_tokens", "before", *(["ids"] if with_ids else [])]
+    types = [pa.int64()] * 5 + [pa.binary()] * with_ids
     rows: list[tuple] = []
     offset = before = held = 0
 
@@ -139,9 +136,9 @@ def _records(file: str, data: bytes) -> Iterator[pa.RecordBatch]:
 
     while offset < len(data):
         doc_id, ids, following = parse(data, offset)
-        packed = ids.astype("<u4").tobytes()
-        rows.append((doc_id, offset, following - offset, len(ids), before, packed))
-        offset, before, held = following, before + len(ids), held + len(packed)
+        row = (doc_id, offset, following - offset, len(ids), before)
+        rows.append((*row, ids.astype("<u4").tobytes()) if with_ids else row)
+        offset, before, held = following, before + len(ids), held + 4 * len(ids)
         if held > 1 << 22:
             yield out()
             rows, held = [], 0
@@ -159,14 +156,14 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     Checksums are verified; a bad one raises ``CorruptRecord`` in the task.
     ``start`` adds the place in the file to the sum of the files before, of
-    which there is one row per file.
+    which there is one row per file: those are broadcast, so no ids are shuffled.
     """
     sums = spark.read.parquet(f"{path}/index").groupBy("file").agg(F.sum("n_tokens").alias("n"))
     earlier = Window.orderBy(*file_order("file")).rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     return (
         _entries(spark, path)
-        .join(bases, "file")
+        .join(F.broadcast(bases), "file")
         .select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids")
     )
 

@@ -40,6 +40,21 @@ def test_records_are_encoded_from_small_batches(spark, tmp_path):
     assert {r.doc_id: r.n_tokens for r in read} == {i: len(ids) for i, ids in want.items()}
 
 
+def test_reading_records_shuffles_no_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records.write_records(docs, str(tmp_path / "r"))
+        read = records.read_records(spark, str(tmp_path / "r"))
+        plan = read._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "ids" not in spark.read.parquet(str(tmp_path / "r" / "index")).columns
+    assert read.count() == 30
+
+
 def test_a_small_graph_is_not_shuffled(spark, monkeypatch):
     pick = random.Random(3)
     pairs = [(pick.randrange(400), pick.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(500, 560)]
