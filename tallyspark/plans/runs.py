@@ -21,6 +21,6 @@ def logged_run(spark: SparkSession, name: str, steps: Steps, log_path: str) -> d
     made: dict[str, DataFrame] = {}
     with RunLog(spark, name, log_path) as log:
         for step, make in steps:
-            made[step] = materialise(make(made), step)
+            made[step] = materialise(make(made), step, "zstd")
             log.step(step, "OK", f"Rows: {made[step].count()}", complete=True)
     return made

@@ -158,3 +158,52 @@ def test_lines_travel_without_their_orders_columns(spark, monkeypatch):
     QUERIES["comm_pricing"](spark, DATA)
     assert staged["lines"] == {"order_id", "line_no", "product_id", "line_total", "category_name", "subcategory_name"}
     assert {"customer_id", "territory_group"} <= staged["orders"] and "line_total" not in staged["orders"]
+
+
+def test_staged_orders_and_lines_are_written_in_the_order_of_their_names(spark, shuffled, monkeypatch):
+    from tallyspark.plans import commission
+
+    plans = {}
+
+    def kept(df, label, *compression):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return df
+
+    monkeypatch.setattr(commission, "materialise", kept)
+    QUERIES["comm_pricing"](spark, DATA)
+
+    def top(label):
+        return re.sub(r"#\d+L?", "", next(x for x in plans[label].splitlines() if re.search(r"\bSort \[", x)))
+
+    assert "Sort [territory_name ASC NULLS FIRST, seller_id ASC NULLS FIRST], false" in top("orders")
+    assert "Sort [category_name ASC NULLS FIRST, subcategory_name ASC NULLS FIRST, order_id" in top("lines")
+    # names of territories come after the last shuffle of the orders
+    assert plans["orders"].index("BroadcastHashJoin") < plans["orders"].index("SortMergeJoin")
+
+
+def test_categories_of_orders_travel_to_their_orders_once(spark, shuffled):
+    from pyspark.sql import functions as F
+
+    from tallyspark.plans import facts
+
+    lines = spark.createDataFrame(
+        [(1, 1, 5, 2, 3.0, 0.5, 6.0), (1, 2, 6, 1, 3.0, 0.0, 3.0), (2, 1, 5, 1, 3.0, 0.0, 3.0), (None, 1, 5, 1, 1.0, 0.0, 1.0)],
+        "order_id long, line_no int, product_id long, order_qty int, unit_price double, unit_price_discount double, line_total double",
+    )
+    orders = spark.createDataFrame([(1, 7), (2, 7), (2, 8), (None, 9)], "order_id long, customer_id long")
+    products = spark.createDataFrame([(5, "a"), (6, "a"), (6, "b")], "product_id long, category_name string")
+    made = facts.order_categories(lines, orders, products)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    # lines by order and product, by product, by order; products; orders
+    assert plan.count("Exchange hashpartitioning") == 5
+    assert sorted(map(tuple, made.select("order_id", "category_name", "line_total", "products", "customer_id").collect())) == [
+        (1, "a", 9.0, 2, 7), (1, "b", 3.0, 1, 7), (2, "a", 3.0, 1, 7), (2, "a", 3.0, 1, 8),
+    ]
+    assert made.where(F.col("order_id").isNull()).isEmpty()
+
+
+def test_steps_of_a_logged_run_are_written_in_zstd(spark, tmp_path):
+    from tallyspark.plans import runs
+
+    made = runs.logged_run(spark, "run", [("step", lambda made: spark.range(9))], str(tmp_path / "log"))
+    assert all(name.endswith(".zstd.parquet") for name in made["step"].inputFiles())
