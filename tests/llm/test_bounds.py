@@ -1,6 +1,9 @@
 """What workers keep, and how small graphs are worked on."""
 
 import random
+import string
+
+import pytest
 
 from tallyspark.llm import components, encoding, records
 from tallyspark.llm.common import BATCH_BYTES
@@ -21,6 +24,40 @@ def test_pieces_met_again_are_taken_over_from_the_older_generation(monkeypatch):
     assert learned.count(" word2") == 1
 
 
+def test_new_words_go_to_the_library_once_and_without_marks(monkeypatch):
+    encoder, sent = encoding.Encoder("word_bpe_49k.json"), []
+    plain = encoder.plain
+
+    class Watched:
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return plain.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(encoder, "plain", Watched())
+    text = "- Tree TREE\ntree tree$$$ tree- House\thouse\u00e9 HOUSE&& house"
+    found = encoder.encode([text, text])
+    words = [x.split() for x in sent if encoder.mark not in x]
+    assert [sorted(x) for x in words] == [["house", "house\u00e9", "tree"]]
+    assert not any("tree" in x.lower() or "house" in x.lower() for x in sent if encoder.mark in x)
+    assert found == encoding.Encoder("word_bpe_49k.json").direct([text, text])
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_folded_and_cut_bytes_give_the_ids_of_the_library(name):
+    encoder, dice = encoding.Encoder(name), random.Random(5)
+    assert encoder.folds == name.startswith("word")
+    signs = ["J", "j", "H", "\u030c", "\u0331", "I", "\u0307", "\u0130", "\u03a3", "\u212a", "\u00c9", "\u00d7"]
+    signs += ["\u00f7", "Ab", "foo", "'S", "<|", "|>", "<|EndOfText|>", "<|endoftext|>", "\u0338", "7", "\x00", "\x1d", "\x7f"]
+    signs += [*string.punctuation, *"  \t\n" * 5, "\r", "\x85", "\u00a0", "\u1680", "\u2028", "\u205f", "\u3000"]
+    signs += ["\u2019", "\u6f22", "\U0001f642"]
+    texts = ["".join(dice.choices(signs, k=dice.randrange(30))) for _ in range(2000)]
+    texts = ["", *texts, "", "J", "\u030c", "a", " "]
+    for first in range(0, len(texts), 401):
+        part = texts[first : first + 401]
+        assert encoder.encode(part) == encoder.direct(part)
+    assert encoder.encode([]) == [] and encoder.encode(["", ""]) == [b"", b""]
+
+
 def test_other_work_empties_what_encoders_left():
     encoding._ENCODERS["left"] = None
     assert list(forgetting(lambda batches: batches)(iter([1]))) == [1]
